@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarrymap.llm import bpe, decontaminate, simhash
+from quarrymap.llm import bpe, decontaminate, quality, simhash
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_simhash": simhash.op4_simhash,
+    "op7_quality": quality.op7_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLES = {

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarrymap.llm import bpe, decontaminate, quality, simhash
+from quarrymap.llm import bpe, decontaminate, pii, quality, simhash
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_pii": pii.op3_pii,
     "op4_simhash": simhash.op4_simhash,
     "op7_quality": quality.op7_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,

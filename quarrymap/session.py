@@ -13,13 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints and stage results, which all executors share.
 
-    The folder comes from ``spark.checkpoint.dir``; a local one is set only where that is unset.
+    ``spark.checkpoint.dir`` names it; a local one is set only where that is unset.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

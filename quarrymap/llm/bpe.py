@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from hashlib import sha256
 from itertools import chain
 
 import regex
@@ -24,7 +25,7 @@ from quarrymap.session import table
 #: The pre-token pattern of byte-level BPE, fixed by the vocabulary file's kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens and words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 700_000
+REMEMBERED = 350_000
 #: Longer pre-tokens are not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -53,17 +54,28 @@ class _Words(dict):
         return ids
 
 
-class Vocabulary:
-    """Tokens, merge trees and the suffix automaton of one byte-level BPE file."""
+class Decoder:
+    """The bytes of the tokens of one byte-level BPE file."""
 
-    def __init__(self, content: str):
+    def __init__(self, data: dict):
+        to_byte = {c: b for b, c in enumerate(byte_characters())}
+        self.tokens: dict[int, bytes] = {i: bytes(to_byte[c] for c in t) for t, i in data["model"]["vocab"].items()}
+        self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
+        self.tokens |= {i: content.encode() for content, i in self.special.items()}
+
+    def decode(self, ids: list[int] | None) -> str:
+        """The text of ids; bytes that are no UTF-8 become U+FFFD."""
+        return b"".join(map(self.tokens.__getitem__, ids or ())).decode("utf-8", "replace")
+
+
+class Vocabulary(Decoder):
+    """With merge trees and the suffix automaton, which encoding needs as well."""
+
+    def __init__(self, data: dict):
         import ahocorasick
 
-        data = json.loads(content)
+        super().__init__(data)
         model = data["model"]
-        to_byte = {c: b for b, c in enumerate(byte_characters())}
-        raw = lambda token: bytes(to_byte[c] for c in token)
-        self.tokens: dict[int, bytes] = {i: raw(t) for t, i in model["vocab"].items()}
         ids = model["vocab"]
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -74,14 +86,12 @@ class Vocabulary:
             self.rank[ids[left], ids[right]] = rank
             if whole not in self.parts:
                 self.parts[whole], self.made_at[whole] = (ids[left], ids[right]), rank
-        self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
-        self.tokens |= {i: content.encode() for content, i in self.special.items()}
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pieces = regex.compile(PATTERN)
         self.loose = re.compile(r"^ |\s |\s$| \s")
         self.automaton = ahocorasick.Automaton()
-        for token, i in ids.items():
-            b = raw(token)
+        for i in ids.values():
+            b = self.tokens[i]
             self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         self.automaton.make_automaton()
         self.known: dict[str, tuple[int, ...]] = {}
@@ -160,7 +170,8 @@ class Vocabulary:
         if len(self.known) + len(self.words) > REMEMBERED:
             self.known.clear()
             self.words.clear()
-            self.beside.clear()
+            if sum(map(len, self.beside.values())) > REMEMBERED:
+                self.beside.clear()
         out: list[int] = []
         for k, part in enumerate(self.split.split(text) if self.split else [text]):
             if k % 2:
@@ -176,21 +187,17 @@ class Vocabulary:
                 out += chain.from_iterable(map(self.words.__getitem__, words))
         return out
 
-    def decode(self, ids: list[int] | None) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.tokens.__getitem__, ids or ())).decode("utf-8", "replace")
-
 
-_loaded: dict[int, Vocabulary] = {}
+_loaded: dict[tuple[type, str], Decoder] = {}
 
 
-def _vocabulary(content) -> Vocabulary:
-    text = content.value
-    key = hash(text)
-    if key not in _loaded:
+def _vocabulary(content, kind: type):
+    """The worker's one vocabulary of that kind."""
+    text, digest = content.value
+    if (kind, digest) not in _loaded:
         _loaded.clear()
-        _loaded[key] = Vocabulary(text)
-    return _loaded[key]
+        _loaded[kind, digest] = kind(json.loads(text))
+    return _loaded[kind, digest]
 
 
 def _content(df: DataFrame, path: str | None):
@@ -199,7 +206,8 @@ def _content(df: DataFrame, path: str | None):
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as file:  # one vocabulary file of fixed size, on the driver
-        return df.sparkSession.sparkContext.broadcast(file.read())
+        text = file.read()
+    return df.sparkSession.sparkContext.broadcast((text, sha256(text.encode()).hexdigest()))
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", path: str | None = None) -> DataFrame:
@@ -207,7 +215,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", path: str
     content = _content(df, path)
 
     def run(texts):
-        one = _vocabulary(content).encode
+        one = _vocabulary(content, Vocabulary).encode
         return [[one(t) for t in texts]]
 
     return with_python(df, run, [text], [T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
@@ -218,7 +226,7 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded_text", pa
     content = _content(df, path)
 
     def run(rows):
-        one = _vocabulary(content).decode
+        one = _vocabulary(content, Decoder).decode
         return [[one(r) for r in rows]]
 
     return with_python(df, run, [ids], [T.StructField(text, T.StringType())])

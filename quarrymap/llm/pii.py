@@ -100,9 +100,14 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", disclosure: fl
     near = near.where(~((F.col("m.start") == 0) & (F.col("at") > 0)) & (F.col("m.end") < NEAR))
     near = near.select("_key", "entity", "context", F.lower("m.value").alias("term"), (F.col("at") + F.col("m.start")).alias("start"), (F.col("at") + F.col("m.end")).alias("end"))
     near = checkpointed(near.where(~F.col("entity").contains(F.col("term"))))
-    both = near.groupBy("entity", "term").agg(F.count_distinct("_key").alias("n_ct"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
-    both = checkpointed(both)
     entities = near.groupBy("entity").agg(F.count_distinct("_key").alias("n_c"))
+    n = F.lit(max(1, base.count()))
+    known = F.log2(n / F.col("n_c"))
+    told = lambda n_t: F.log2(F.col("n_ct") * n / (F.col("n_c") * n_t))
+    both = near.groupBy("entity", "term").agg(F.count_distinct("_key").alias("n_ct"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
+    # A term is in at least as many documents as it is near entities in, so one that tells too little by that count is none.
+    beside = near.groupBy("term").agg(F.count_distinct("_key").alias("n_near"))
+    both = checkpointed(both.join(entities, "entity").join(beside, "term").where((known > 0) & (told(F.col("n_near")) >= disclosure * known)))
 
     candidates = both.select("term").distinct()
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
@@ -112,10 +117,7 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", disclosure: fl
     small = n_candidates <= BROADCAST_TERMS
     # Either way every text is counted; few candidates are compared before the shuffle, many after it.
     counted = (terms.join(F.broadcast(candidates), "term", "left_semi") if small else terms).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = F.lit(max(1, base.count()))
-    known = F.log2(n / F.col("n_c"))
-    told = F.log2(F.col("n_ct") * n / (F.col("n_c") * F.greatest("n_t", "n_ct")))
-    telling = both.join(entities, "entity").join(counted, "term").where((known > 0) & (told >= disclosure * known)).select("entity", "term")
+    telling = both.join(counted, "term").where(told(F.greatest("n_t", "n_near")) >= disclosure * known).select("entity", "term")
     added = near.join(telling, ["entity", "term"]).groupBy("_key").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("_added"))
     return base.join(added, "_key", "left").select(id, "_key", F.when(F.col("_added").isNull(), F.col("spans")).otherwise(F.concat("spans", "_added")).alias("spans"))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarrymap.llm import bpe, decontaminate, outliers, pii, quality, simhash, urls
+from quarrymap.llm import bpe, decontaminate, extract, outliers, pii, quality, simhash, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_pii": pii.op3_pii,
     "op4_simhash": simhash.op4_simhash,
+    "op5_extract": extract.op5_extract,
     "op6_urls": urls.op6_urls,
     "op7_quality": quality.op7_quality,
     "op8_quality_rules": outliers.op8_quality_rules,

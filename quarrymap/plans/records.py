@@ -33,11 +33,11 @@ DUCK = {
 
 VOTES = """
 WITH v AS (
-  SELECT user_id AS voter, «k» AS tbl, event_type, ts, event_id, «epoch» AS at,
+  SELECT user_id AS voter, «k» AS tbl, event_type, ts, event_id, «epoch» AS sec,
          row_number() OVER (PARTITION BY user_id, «k» ORDER BY ts DESC, event_id DESC) AS latest
   FROM {events} WHERE event_type IN ('purchase', 'error')
 ), w AS (
-  SELECT tbl, voter, event_type = 'purchase' AS up, pow(0.5, greatest(0.0, (1709251200 - at) / CAST(86400 AS DOUBLE)) / CAST(180 AS DOUBLE)) * CASE WHEN voter % 3 = 0 THEN CAST(0.6 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS weight
+  SELECT tbl, voter, event_type = 'purchase' AS up, pow(0.5, greatest(0.0, (1709251200 - sec) / CAST(86400 AS DOUBLE)) / CAST(180 AS DOUBLE)) * CASE WHEN voter % 3 = 0 THEN CAST(0.6 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS weight
   FROM v WHERE latest = 1
 ), t AS (
   SELECT tbl, sum(CASE WHEN up THEN weight ELSE CAST(0 AS DOUBLE) END) AS up, sum(CASE WHEN up THEN CAST(0 AS DOUBLE) ELSE weight END) AS down,

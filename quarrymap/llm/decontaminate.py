@@ -149,7 +149,8 @@ def keep_clean(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str
     """The rows of ``docs`` in which no window of the benchmark occurs."""
     key = F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("")), F.hex(F.xxhash64(text)))
     found = find(docs.select(key.alias("_key"), F.col(text).alias("text")), items).where(F.size("hit_starts") > 0)
-    return docs.withColumn("_key", key).join(found.select("_key").distinct(), "_key", "left_anti").drop("_key")
+    hit = found.select(F.col("_key").alias("_hit")).distinct()
+    return docs.join(hit, key == F.col("_hit"), "left_anti")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -125,19 +125,19 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", disclosure: fl
 def sanitise(docs: DataFrame, id: str = "doc_id", text: str = "text", remove: bool = False) -> DataFrame:
     """``docs`` with every span of the text generalised to the name of its kind, or removed; other columns as they are."""
     key = F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("")), F.hex(F.xxhash64(text)))
-    found = find(docs, id, text).where(F.size("spans") > 0).select("_key", "spans").dropDuplicates(["_key"])
-    joined = docs.withColumn("_key", key).join(found, "_key", "left")
-    by_start = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    found = find(docs, id, text).where(F.size("spans") > 0).select("_key", F.col("spans").alias("_spans")).dropDuplicates(["_key"])
+    joined = docs.select(*docs.columns, key.alias("_row")).join(found, F.col("_row") == found["_key"], "left")
+    by_start = F.array_sort("_spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     empty = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("parts"))
 
     def step(done, span):
         mask = F.lit("") if remove else reduce(lambda other, k: F.when(span["kind"] == k, F.lit(MASKS[k])).otherwise(other), MASKS, F.lit(""))
-        gap = F.substring(F.col(text), done["upto"] + 1, span["start"] - done["upto"])
+        gap = F.substring(docs[text], done["upto"] + 1, span["start"] - done["upto"])
         more = F.when(span["start"] >= done["upto"], F.array(gap, mask)).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(done["upto"], span["end"]).alias("upto"), F.concat(done["parts"], more).alias("parts"))
 
-    clean = F.aggregate(by_start, empty, step, lambda d: F.concat(F.array_join(d["parts"], ""), F.substring(F.col(text), d["upto"] + 1, F.length(text))))
-    return joined.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate(by_start, empty, step, lambda d: F.concat(F.array_join(d["parts"], ""), F.substring(docs[text], d["upto"] + 1, F.length(text))))
+    return joined.select(*(F.when(F.col("_spans").isNull(), docs[text]).otherwise(clean).alias(text) if c == text else docs[c] for c in docs.columns))
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

@@ -1,0 +1,201 @@
+"""The operators on odd rows, and against brute force."""
+
+import hashlib
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+from quarrymap.llm import bpe, decontaminate, extract, licenses, outliers, pii, quality, secrets, simhash, urls
+
+DATA = "/root/testdata/sf0.001"
+LONG = "word " * 30000
+ODD = [(1, None, None, None), (2, "", "en", "a"), (3, LONG, "en", "a"), (4, "tie", "en", "a"), (4, "tie", "en", "a"), (None, "x y z", None, "b"), (5, "…é漢🙂 \x85 a", "de", "b")]
+EXTRA = "score double, fp string, spans string, n_words string, _key string, kept string, component_id string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, 0.5, "f", "s", "w", "k", "p", "c") for r in ODD], f"doc_id long, text string, lang string, source string, {EXTRA}")
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()
+
+
+def test_bpe_like_the_library(spark, odd):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    right = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = bpe.decode(bpe.encode(odd)).collect()
+    assert len(rows) == len(ODD)
+    for r in rows:
+        assert r.token_ids == right.encode(r.text or "", add_special_tokens=False).ids
+        assert r.decoded_text == (r.text or "")
+
+
+def test_bpe_random_texts():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    right, own, rng = Tokenizer.from_file(path), bpe.Vocabulary(json.load(open(path))), random.Random(3)
+    for _ in range(3000):
+        x = "".join(rng.choice("abcdefgh ABC  \n\t'`.,é漢字🙂0123-_=\x1c\x85") for _ in range(rng.randint(0, 40))) + rng.choice(["", "<|endoftext|>", " <|endoftext|>x"])
+        assert own.encode(x) == right.encode(x, add_special_tokens=False).ids
+        assert own.decode(own.encode(x)) == x
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    counts = Counter(b for s in shingles for b in range(64) if xxhash.xxh64_intdigest(s.encode(), 42) >> b & 1)
+    return sum(1 << b for b, c in counts.items() if c * 2 > len(shingles))
+
+
+def test_simhash_by_brute_force(spark, documents):
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op4_simhash(spark, DATA).collect()}
+    prints = {d: brute_fingerprint(t) for d, t in documents}
+    ids, forest = sorted(prints), {}
+    for d in ids:
+        forest[d] = d
+        for e in list(forest):
+            if (prints[d] ^ prints[e]).bit_count() <= 3 and forest[d] != forest[e]:
+                low, high = sorted((forest[d], forest[e]))
+                forest = {k: low if v == high else v for k, v in forest.items()}
+    assert got == {d: (f"{prints[d]:016x}", forest[d]) for d in ids}
+
+
+def test_split_files_lose_no_link(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**62, 6)
+    values = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 4), replace=False) if k < 63) for b in base for _ in range(60)})
+    fps = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "fp long, rep long")
+    roots = [{r.node: r.root for r in simhash.components(simhash.links(fps, large)).collect()} for large in (3, 20_000)]
+    assert roots[0] == roots[1]
+
+
+def test_simhash_odd_rows(spark, odd):
+    rows = simhash.with_components(simhash.with_fingerprint(odd)).select("doc_id", "fp", "component_id").collect()
+    assert len(rows) == len(ODD)
+    assert {r.component_id for r in rows if r.fp == 0} == {1}
+    kept = simhash.keep_one(odd.select("doc_id", "text", "lang", "source"))
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 3, 4, 5]
+    assert simhash.with_components(simhash.with_fingerprint(odd.limit(0))).count() == 0
+
+
+def test_decontaminate(spark):
+    words = [f"w{i}" for i in range(40)]
+    docs = [(1, " ".join(words)), (2, "W3 w4, w5 w6 w7 w8 w9 w10 w11 w12!"), (3, "w3 w4 w5 w6 w7 w8 w9 w10 w11"), (4, "short one here"), (5, None), (6, ""), (7, "a short one"), (7, "a short one")]
+    items = [(10, " ".join(words[3:15])), (9, "Short ONE"), (11, None), (12, ""), (9, "short one")]
+    found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=3).collect()
+    told = sorted((r.doc_id, r.n_words, sum(b - a for a, b in zip(r.hit_starts, r.hit_ends)), r.item_ids) for r in found)
+    assert told == [(1, 40, 12, ["10"]), (2, 10, 10, ["10"]), (3, 9, 0, []), (4, 3, 2, ["9"]), (5, 0, 0, []), (6, 0, 0, []), (7, 3, 2, ["9"]), (7, 3, 2, ["9"])]
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.keep_clean(spark.createDataFrame(docs, "doc_id long, text string"), empty).count() == len(docs)
+
+
+def brute_spans(text):
+    text, out = text or "", []
+    patterns = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+    for kind, pattern in patterns:
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+            if {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True, "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15}[kind]:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii_by_brute_force(spark, odd):
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("a.b-@ +1234567890()🙂é%1.1.2.3@") for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    texts += [None, "", "1.2.3.4 " * 2000 + "4785380592391139", "a" * 50000 + "@b.c", "a@b" + ".c" * 20000, "+1 555 555 5555 " * 1000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.kind != "term"] for r in pii.find(df).collect()}
+    assert got == {i: brute_spans(t) for i, t in enumerate(texts)}
+    assert pii.sanitise(odd).columns == odd.columns and pii.sanitise(odd).count() == len(ODD)
+
+
+def test_pii_terms(spark):
+    others = [(100 + i, f"plain text number {i} about nothing") for i in range(60)]
+    near = [(i, f"note {'abcdef'[i]}{i} from Zebulon at z@y.org today") for i in range(4)]
+    df = spark.createDataFrame(near + others, "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert rows[0] == "note a0 from [TERM] at [EMAIL] today" or "Zebulon" not in rows[0]
+    assert rows[100] == others[0][1]
+
+
+def test_quality_held_out(spark):
+    data = "/root/testdata/sf0.01"
+    labels = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{data}/labels.parquet'").fetchall())
+    rows = [r for r in quality.op7_quality(spark, data).collect() if r.held_out and r.doc_id in labels]
+    assert sum(r.predicted == labels[r.doc_id] for r in rows) / len(rows) > 0.9
+
+
+def test_quality_odd_rows(spark, odd):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality.fit(odd, labels)
+    assert [r.score for r in quality.score(odd, model).collect()] == [0.5] * len(ODD)
+
+
+def test_statistics():
+    assert outliers.statistics(None) == outliers.statistics("") == (0, 0, 0, 0, 0)
+    line = "a b c d e f g h"
+    assert outliers.statistics(f"{line}\n{line}\n\n \nx#") == (17, 18, 1, 1, 16)
+
+
+def test_quality_rules_odd_rows(spark, odd):
+    rows = outliers.judge(odd).collect()
+    assert len(rows) == len(ODD) and all(r.base_failed and not r.kept for r in rows if r.doc_id != 3)
+    assert outliers.judge(odd.limit(0)).count() == 0
+
+
+def test_extract():
+    field = extract.trained()
+    right = total = 0
+    for html, kept in extract.labelled_pages(100, seed=99):
+        rows = extract.blocks(html)
+        want = extract.labels_of(rows, kept)
+        right += sum(a == b for a, b in zip(want, field.viterbi([f for _, f in rows]), strict=True))
+        total += len(want)
+    assert right / total > 0.97
+    page = "<title>t</title><nav><a href=x>Menu</a></nav><article><h1>A &amp; b</h1><p>One <b>two</b>three\n four.<br>five<p>Six seven eight nine.</p><script>var x='</p>'</script></article><footer>&copy; z</footer>"
+    assert extract.main_text(page, field) == "A & b One twothree four. five Six seven eight nine."
+    assert extract.main_text(None, field) == extract.main_text("", field) == extract.main_text("<![if x", field) == ""
+
+
+def test_urls(spark):
+    rows = [("http://A.example.org/es/1",), ("https://example.org/en/12",), ("http://x.com/de/?a",), ("http://x.com/fr",), ("no url",), (None,), ("http://spam-farm.net/a",), ("http://spam-farm.org/a",)]
+    found = [(r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "url string").coalesce(1)).collect()]
+    assert found == [
+        ("a.example.org", "/es/1", "example.org/es/", "block"), ("example.org", "/en/12", "example.org/en/1", "block"), ("x.com", "/de/", "com/de/", "block"), ("x.com", "/fr", None, "allow"),
+        ("", "", None, "allow"), ("", "", None, "allow"), ("spam-farm.net", "/a", None, "block"), ("spam-farm.org", "/a", "org/", "allow"),
+    ]
+
+
+def test_licenses(spark):
+    mit, gpl = licenses.TEMPLATES["MIT"][1], licenses.TEMPLATES["GPL-3.0"][0]
+    files = [("a/LICENSE", mit), ("a/b/c.py", "x = 1"), ("a/b/COPYING", gpl), ("a/b/d/e.py", None), ("a/z.py", "Licensed under CC BY 4.0."), ("q/r.py", ""), (None, "hi"), ("a/b/c.py", "x = 1")]
+    found = sorted(((r.path or "", r.license, r.license_from) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()), key=str)
+    assert found == sorted([("a/LICENSE", "MIT", "own"), ("a/b/c.py", "GPL-3.0", "/a/b"), ("a/b/c.py", "GPL-3.0", "/a/b"), ("a/b/COPYING", "GPL-3.0", "own"), ("a/b/d/e.py", "GPL-3.0", "/a/b"), ("a/z.py", "CC-BY-4.0", "own"), ("q/r.py", None, None), ("", None, None)], key=str)
+
+
+def test_secrets(spark, odd):
+    model = secrets.train(spark)
+    key = hashlib.sha256(b"x").hexdigest()[:40]
+    rows = secrets.scan(spark.createDataFrame([(1, f'set token = "{key}" here'), (2, "api_key = your_token_here_placeholder"), (3, None)], "doc_id long, text string"), model).collect()
+    assert [(r.doc_id, r.is_secret) for r in sorted(rows, key=lambda r: r.doc_id)] == [(1, True), (2, False)]
+    assert (rows[0].start, rows[0].end) == (13, 53) or rows[0].doc_id != 1
+    assert secrets.scan(odd, model).count() == 0

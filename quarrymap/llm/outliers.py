@@ -80,9 +80,10 @@ def _inverse(covariances):
         m = np.zeros((N, N))
         m[np.triu_indices(N)] = c
         m = m + np.triu(m, 1).T
-        # Floors are added to the diagonal where it is below them, which keeps the matrix positive definite.
-        m = m + np.diag(np.maximum(0, np.array(FLOORS) ** 2 - np.diag(m)))
-        out.append(np.linalg.inv(m)[np.triu_indices(N)].tolist())
+        # In units of the floors no direction has a variance below one: the inverse exists, however the counts depend on each other.
+        values, vectors = np.linalg.eigh(np.nan_to_num(m) / np.outer(FLOORS, FLOORS))
+        inverse = (vectors / np.maximum(values, 1)) @ vectors.T / np.outer(FLOORS, FLOORS)
+        out.append(inverse[np.triu_indices(N)].tolist())
     return [out]
 
 

@@ -162,6 +162,14 @@ def test_quality_rules_odd_rows(spark, odd):
     assert outliers.judge(odd.limit(0)).count() == 0
 
 
+def test_singular_covariances_have_inverses():
+    ones = [[1.0] * (outliers.N * (outliers.N + 1) // 2), [0.0] * (outliers.N * (outliers.N + 1) // 2)]
+    for inverse in outliers._inverse(ones)[0]:
+        m = np.zeros((outliers.N, outliers.N))
+        m[np.triu_indices(outliers.N)] = inverse
+        assert (np.linalg.eigvalsh(m + np.triu(m, 1).T) > 0).all()
+
+
 def test_extract():
     field = extract.trained()
     right = total = 0

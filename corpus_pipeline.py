@@ -51,7 +51,7 @@ STAGES = [
     ("PII", sanitise),
     ("BPE encoding and decoding", encode),
 ]
-#: Learnt scores, fingerprints and BPE have no SQL; tests hold run() against a brute-force version.
+#: Learnt scores, fingerprints and BPE have no SQL. The stages are tested alone; run() has no brute-force test yet.
 ORACLE_SQL = None
 
 

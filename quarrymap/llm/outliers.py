@@ -26,6 +26,8 @@ from quarrymap.session import checkpointed, table
 LEAST_WORDS, MOST_REPEATED = 20, 0.30
 WINDOW = 8
 LEAST, SUBSET, STEPS = 50, 0.75, 3
+#: Groups that are broadcast at most, at 200 bytes each; tasks for tables with a row for each group.
+FEW_GROUPS, GROUP_TASKS = 20_000, 16
 #: Smallest standard deviations: log words, characters a word, symbol rate, repeated lines, repeated words.
 FLOORS = [0.9, 0.45, 0.05, 0.25, 0.15]
 N = len(FLOORS)
@@ -109,23 +111,32 @@ def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, "n", "mean", "covariance")
 
 
-def _estimates(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(mean, inverse) of every group: minimum covariance determinant by concentration steps."""
+def _with_group(rows: DataFrame, groups: DataFrame, by: list[str], few: bool) -> DataFrame:
+    """``rows`` with the columns of their groups. Few groups are broadcast; more of them are joined, and AQE splits hot ones."""
+    return rows.join(F.broadcast(groups) if few else groups, by)
+
+
+def _inverted(groups: DataFrame, drop: list[str]) -> DataFrame:
+    """(mean, inverse) for (mean, covariance), written out; a row for each group, so a few tasks do."""
     out = [T.StructField("inverse", T.ArrayType(T.DoubleType()))]
-    medians = rows.groupBy(*by).agg(F.array(*(F.percentile_approx(f"x{i}", 0.5, 2000) for i in range(N))).alias("mean"))
-    away = rows.join(medians, by).select(*by, "mean", *(F.abs(F.col(f"x{i}") - F.col("mean")[i]).alias(f"a{i}") for i in range(N)))
+    return checkpointed(with_python(groups.coalesce(GROUP_TASKS), _inverse, ["covariance"], out, drop=["covariance", *drop]))
+
+
+def _estimates(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(mean, inverse, scale, n) of every group: minimum covariance determinant by concentration steps."""
+    medians = checkpointed(rows.groupBy(*by).agg(F.array(*(F.percentile_approx(f"x{i}", 0.5, 2000) for i in range(N))).alias("mean")).coalesce(GROUP_TASKS))
+    few = medians.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    away = _with_group(rows, medians, by, few).select(*by, "mean", *(F.abs(F.col(f"x{i}") - F.col("mean")[i]).alias(f"a{i}") for i in range(N)))
     spread = away.groupBy(*by).agg(F.first("mean").alias("mean"), *(F.percentile_approx(f"a{i}", 0.5, 2000).alias(f"s{i}") for i in range(N)))
     diagonal = [F.pow(F.col(f"s{i}") * 1.4826, 2) if i == j else F.lit(0.0) for i in range(N) for j in range(i, N)]
-    now = with_python(spread.select(*by, "mean", F.array(*diagonal).alias("covariance")), _inverse, ["covariance"], out, drop=["covariance"])
+    now = _inverted(spread.select(*by, "mean", F.array(*diagonal).alias("covariance")), [])
     for _ in range(STEPS):
-        now = checkpointed(now)
-        far = rows.join(now, by).withColumn("d", _distance("mean", "inverse")).drop("mean", "inverse")
+        far = _with_group(rows, now, by, few).withColumn("d", _distance("mean", "inverse")).drop("mean", "inverse")
         limits = far.groupBy(*by).agg(F.percentile_approx("d", SUBSET, 2000).alias("limit"))
-        near = far.join(limits, by).where("d <= limit")
-        now = with_python(_moments(near, by), _inverse, ["covariance"], out, drop=["covariance", "n"])
-    now = checkpointed(now)
-    scale = rows.join(now, by).groupBy(*by).agg(F.greatest(F.percentile_approx(_distance("mean", "inverse"), 0.5, 2000) / MEDIAN, F.lit(1.0)).alias("scale"), F.count(F.lit(1)).alias("n"))
-    return checkpointed(now.join(scale, by))
+        near = _with_group(far, limits, by, few).where("d <= limit")
+        now = _inverted(_moments(near, by), ["n"])
+    scale = _with_group(rows, now, by, few).groupBy(*by).agg(F.greatest(F.percentile_approx(_distance("mean", "inverse"), 0.5, 2000) / MEDIAN, F.lit(1.0)).alias("scale"), F.count(F.lit(1)).alias("n"))
+    return checkpointed(now.join(scale.coalesce(GROUP_TASKS), by))
 
 
 def judge(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -138,10 +149,14 @@ def judge(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "s
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 100 * MOST_REPEATED * F.col("n_words"))
     groups = [f"_g{i}" for i in range(len(by))]
     numbers = rows.select(*groups, *(f"x{i}" for i in range(N)))
-    own = _estimates(numbers, groups).where(F.col("n") >= LEAST).drop("n")
-    whole = _estimates(numbers.withColumn("_all", F.lit(0)).drop(*groups), ["_all"])
-    all_rows = whole.select(F.col("mean").alias("_mean"), F.col("inverse").alias("_inverse"), F.col("scale").alias("_scale"), F.lit(0).alias("_all"))
-    told = rows.withColumn("_all", F.lit(0)).join(own, groups, "left").join(F.broadcast(all_rows), "_all", "left")  # one row
+    # Every row counts for its group and for the group of all rows, whose estimate serves small groups.
+    everyone = F.struct(*(F.lit("\0all").alias(g) for g in groups))
+    numbers = numbers.withColumn("_g", F.explode(F.array(F.struct(*groups), everyone))).select("_g.*", *(f"x{i}" for i in range(N)))
+    estimates = _estimates(numbers, groups)
+    few = estimates.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    own = estimates.where((F.col("n") >= LEAST) & (F.col(groups[0]) != "\0all")).drop("n")
+    all_rows = estimates.where(F.col(groups[0]) == "\0all").select(F.col("mean").alias("_mean"), F.col("inverse").alias("_inverse"), F.col("scale").alias("_scale"), F.lit(0).alias("_all"))
+    told = rows.withColumn("_all", F.lit(0)).join(F.broadcast(own) if few else own, groups, "left").join(F.broadcast(all_rows), "_all", "left")  # one row
     told = told.withColumns({"mean": F.coalesce("mean", "_mean"), "inverse": F.coalesce("inverse", "_inverse"), "scale": F.coalesce("scale", "_scale")})
     distance = _distance("mean", "inverse") / F.col("scale")
     return told.select(*kept, *_STATISTICS, failed.alias("base_failed"), distance.alias("distance"), (~failed & F.coalesce(distance <= CUTOFF, F.lit(True))).alias("kept"))

@@ -3,8 +3,8 @@
 Any two 64-bit fingerprints that differ in at most three bits agree on at least two of five blocks. Every distinct
 fingerprint is therefore filed under its ten pairs of blocks, and each file is joined with itself by walking pairs of nodes
 of its binary trie, adding up the bits in which their paths differ and leaving a pair once these exceed the budget. Files with
-very many fingerprints are first split by the block values of the bits that are still free, which loses no pair for the same
-reason. A file returns a spanning forest of its links, at most one edge for each fingerprint, never all pairs.
+very many fingerprints are first split by the values of four parts of the bits that are still free, again and again until
+they are small, which loses no pair for the same reason. A file returns a spanning forest of its links, at most one edge for each fingerprint, never all pairs.
 
 Null and empty texts, and texts without words, have fingerprint zero and are linked like any other. Equal texts share a
 fingerprint and so a component. Rows are judged singly: repeated rows are returned as often as they come. A null id counts
@@ -30,10 +30,12 @@ SEED = 42
 SHINGLE = 3
 #: Bits in which linked fingerprints may differ.
 BUDGET = 3
-#: Borders of the five blocks, and of the four blocks into which what a file leaves free is cut.
+#: Borders of the five blocks.
 BLOCKS = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]
 #: Fingerprints beyond which a file is split.
 LARGE_FILE = 20_000
+#: Times that a file is split at most; no file can be large then.
+SPLITS = 4
 #: Pairs of leaves that are compared at once instead of walking further down.
 LEAVES = 4096
 
@@ -153,7 +155,7 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _file_links(batches, budget):
-    for file in groups(batches, ["combo", "key", "sub", "subkey"]):
+    for file in groups(batches, ["mask", "key"]):
         if file.num_rows < 2:
             continue
         values = file.column("fp").to_numpy().view(np.uint64)
@@ -166,37 +168,46 @@ def _file_links(batches, budget):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_LINKS)
 
 
-def _bits(fp, ranges):
-    """The bits of the ranges, counted from the highest, side by side in one long."""
-    out = F.lit(0).cast("long")
-    for a, b in ranges:
-        part = F.shiftrightunsigned(fp, 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
-        out = F.shiftleft(out, b - a).bitwiseOR(part)
-    return out
+def _mask(bits: list[int]) -> int:
+    """A signed long with the given bits, counted from the highest, set."""
+    return _signed(sum(1 << (63 - x) for x in bits))
 
 
-def _free(ranges: list[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
-    """The bits of the ranges cut into n parts of about equal length."""
-    bits = [x for a, b in ranges for x in range(a, b)]
-    cuts = [round(i * len(bits) / n) for i in range(n + 1)]
-    return [[(x, x + 1) for x in bits[p:q]] for p, q in zip(cuts, cuts[1:], strict=False)]
+def _narrower(masks: list[int]) -> dict[int, list[int]]:
+    """For every mask, that mask with each of four parts of its free bits added: at most three of the parts can differ."""
+    out = {}
+    for mask in masks:
+        unset = [x for x in range(64) if not mask >> (63 - x) & 1]
+        cuts = [round(i * len(unset) / (BUDGET + 1)) for i in range(BUDGET + 2)]
+        out[mask] = [_signed((mask | _mask(unset[p:q])) % (1 << 64)) for p, q in zip(cuts, cuts[1:], strict=False)]
+    return out
 
 
 def links(fps: DataFrame, large: int = LARGE_FILE) -> DataFrame:
-    """Links (a, b), a < b, between the ids ``rep`` of distinct fingerprints (fp, rep): enough to connect what is linked."""
-    combos = list(combinations(BLOCKS, 2))
-    filed = fps.select("fp", "rep", F.posexplode(F.array(*(_bits(F.col("fp"), c) for c in combos))).alias("combo", "key"))
-    sizes = filed.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    filed = filed.join(sizes, ["combo", "key"])
-    rest = [[x for x in BLOCKS if x not in c] for c in combos]
-    sub = reduce(
-        lambda other, k: F.when(F.col("combo") == k, F.array(*(_bits(F.col("fp"), part) for part in _free(rest[k], BUDGET + 1)))).otherwise(other),
-        range(len(combos)),
-        F.lit(None).cast("array<bigint>"),
-    )
-    filed = filed.select("combo", "key", "fp", "rep", F.posexplode(F.when(F.col("n") > large, sub).otherwise(F.array(F.lit(0).cast("long")))).alias("sub", "subkey"))
-    by = ["combo", "key", "sub", "subkey"]
-    return filed.repartition(*by).sortWithinPartitions(*by).mapInArrow(partial(_file_links, budget=BUDGET), "a long, b long").distinct()
+    """Links (a, b), a < b, between the ids ``rep`` of distinct fingerprints (fp, rep): enough to connect what is linked.
+
+    A file is a mask and the fingerprints that are equal under it. Files larger than ``large`` are filed anew under masks
+    with more bits, as often as needed; after four times a mask leaves 13 bits free, so that no file can hold more than 8192.
+    """
+    spark = fps.sparkSession
+    masks = [_mask([x for a, b in pair for x in range(a, b)]) for pair in combinations(BLOCKS, 2)]
+    filed = fps.select("fp", "rep", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
+    found, by = [], ["mask", "key"]
+    for step in range(SPLITS + 1):
+        filed = filed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = filed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        filed = checkpointed(filed.join(sizes, ["mask", "key"]))
+        small = filed.where((F.col("n") <= large) | F.lit(step == SPLITS)).select(*by, "fp", "rep")
+        found.append(small.repartition(*by).sortWithinPartitions(*by).mapInArrow(partial(_file_links, budget=BUDGET), "a long, b long"))
+        filed = filed.where(F.col("n") > large).select("fp", "rep", "mask")
+        if step == SPLITS or filed.isEmpty():
+            break
+        narrower = _narrower(masks)
+        masks = [m for parts in narrower.values() for m in parts]
+        steps = spark.createDataFrame([*narrower.items()], "mask long, masks array<long>")
+        # Ten masks at first and four times as many at each step: 2560 at most.
+        filed = filed.join(F.broadcast(steps), "mask").select("fp", "rep", F.explode("masks").alias("mask")).distinct()
+    return reduce(DataFrame.unionAll, found).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -155,9 +155,10 @@ def judge(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "s
     estimates = _estimates(numbers, groups)
     few = estimates.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     own = estimates.where((F.col("n") >= LEAST) & (F.col(groups[0]) != "\0all")).drop("n")
-    all_rows = estimates.where(F.col(groups[0]) == "\0all").select(F.col("mean").alias("_mean"), F.col("inverse").alias("_inverse"), F.col("scale").alias("_scale"), F.lit(0).alias("_all"))
-    told = rows.withColumn("_all", F.lit(0)).join(F.broadcast(own) if few else own, groups, "left").join(F.broadcast(all_rows), "_all", "left")  # one row
-    told = told.withColumns({"mean": F.coalesce("mean", "_mean"), "inverse": F.coalesce("inverse", "_inverse"), "scale": F.coalesce("scale", "_scale")})
+    every = estimates.where(F.col(groups[0]) == "\0all").first()  # the one group of all rows; none where the table is empty
+    told = rows.join(F.broadcast(own) if few else own, groups, "left")
+    if every:
+        told = told.withColumns({c: F.coalesce(c, F.array(*map(F.lit, every[c]))) for c in ("mean", "inverse")} | {"scale": F.coalesce("scale", F.lit(every["scale"]))})
     distance = _distance("mean", "inverse") / F.col("scale")
     return told.select(*kept, *_STATISTICS, failed.alias("base_failed"), distance.alias("distance"), (~failed & F.coalesce(distance <= CUTOFF, F.lit(True))).alias("kept"))
 

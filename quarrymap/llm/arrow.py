@@ -14,26 +14,27 @@ from pyspark.sql.pandas.types import to_arrow_schema
 ROWS = 256
 
 
-def _run(batches, function, inputs, outputs, kept):
+def _run(batches, function, inputs, outputs, kept, arrow_inputs):
     arrow = to_arrow_schema(T.StructType(outputs))
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            made = function(*(part.column(name).to_pylist() for name in inputs))
+            made = function(*(part.column(name) if arrow_inputs else part.column(name).to_pylist() for name in inputs))
             columns = [part.column(name) for name in kept]
             columns += [pa.array(values, type=field.type) for values, field in zip(made, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *arrow.names])
 
 
-def with_python(df: DataFrame, function: Callable[..., Sequence[list]], inputs: list[str], outputs: list[T.StructField], drop: Sequence[str] = ()) -> DataFrame:
-    """``df`` with the columns ``outputs``, which ``function`` makes from lists of the columns ``inputs``.
+def with_python(df: DataFrame, function: Callable[..., Sequence[list]], inputs: list[str], outputs: list[T.StructField], drop: Sequence[str] = (), arrow: bool = False) -> DataFrame:
+    """``df`` with the columns ``outputs``, which ``function`` makes from lists of the columns ``inputs``,
+    or from their Arrow arrays if ``arrow`` is set.
 
     A column of the same name is replaced; those in ``drop`` are not returned.
     """
     names = {field.name for field in outputs}
     kept = [field for field in df.schema.fields if field.name not in names and field.name not in drop]
     needed = [*dict.fromkeys([*(field.name for field in kept), *inputs])]
-    run = partial(_run, function=function, inputs=inputs, outputs=outputs, kept=[field.name for field in kept])
+    run = partial(_run, function=function, inputs=inputs, outputs=outputs, kept=[field.name for field in kept], arrow_inputs=arrow)
     return df.select([df[f"`{name}`"] for name in needed]).mapInArrow(run, T.StructType([*kept, *outputs]))
 
 

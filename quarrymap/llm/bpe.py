@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 from hashlib import sha256
-from itertools import chain
+from itertools import accumulate, chain
 
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +24,7 @@ from quarrymap.session import table
 
 #: The pre-token pattern of byte-level BPE, fixed by the vocabulary file's kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens and words whose ids a worker remembers; the memory is emptied when full.
+#: Pre-tokens and words whose ids a worker remembers, in an older and a newer half; the older goes when the newer is full.
 REMEMBERED = 350_000
 #: Longer pre-tokens are not remembered.
 LONGEST_REMEMBERED = 64
@@ -38,17 +38,20 @@ def byte_characters() -> list[str]:
 
 
 class _Words(dict):
-    """The ids of words that follow a space; found when first asked for."""
+    """The ids of words that follow a space; found when first asked for, in the words of ``before`` or by encoding."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, before: _Words | None = None):
         self.vocabulary = vocabulary
+        self.before = {} if before is None else before
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        text = " " + word
-        if len(pieces := self.vocabulary.pieces.findall(text)) == 1:
-            ids = self.vocabulary.encode_piece(text.encode())
-        else:
-            ids = self.vocabulary.encode_part(text, pieces)
+        ids = self.before.get(word)
+        if ids is None:
+            text = " " + word
+            if word.isascii() and word.isalpha() or len(pieces := self.vocabulary.pieces.findall(text)) == 1:
+                ids = self.vocabulary.encode_piece(text.encode())
+            else:
+                ids = self.vocabulary.encode_part(text, pieces)
         if len(word) <= LONGEST_REMEMBERED:
             self[word] = ids
         return ids
@@ -88,14 +91,16 @@ class Vocabulary(Decoder):
                 self.parts[whole], self.made_at[whole] = (ids[left], ids[right]), rank
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pieces = regex.compile(PATTERN)
-        self.loose = re.compile(r"^ |\s |\s$| \s")
+        self.loose = re.compile(r"\s(?: |(?<= )\s)")
+        self.beside: list[dict[int, bool]] = []
         self.automaton = ahocorasick.Automaton()
         for i in ids.values():
             b = self.tokens[i]
-            self.automaton.add_word(b.decode("latin-1"), (len(b), i))
+            self.beside.append({})
+            self.automaton.add_word(b.decode("latin-1"), (len(b), i, self.beside[-1]))
         self.automaton.make_automaton()
+        self.anything = dict.fromkeys(ids.values(), True)
         self.known: dict[str, tuple[int, ...]] = {}
-        self.beside: dict[int, dict[int, bool]] = {}
         self.words = _Words(self)
 
     def compatible(self, left: int, right: int) -> bool:
@@ -122,39 +127,36 @@ class Vocabulary(Decoder):
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
         n = len(piece)
-        #: For each prefix: what may stand after its last token, as far as it is known; that token; its length.
-        after: list[dict[int, bool] | None] = [None] * (n + 1)
-        last = [0] * (n + 1)
-        lengths = [0] * (n + 1)
-        beside = self.beside
-        for at, (length, token) in self.automaton.iter(piece.decode("latin-1")):
-            end = at + 1
-            if after[end] is not None:
+        #: For the prefix that ends at each byte: what may stand after its last token, as far as it is known; that match.
+        #: The element at -1 belongs to the empty prefix, after which every token may stand.
+        after: list[dict[int, bool]] = [{}] * n + [self.anything]
+        last: list[tuple[int, int, dict[int, bool]] | None] = [None] * n
+        for at, match in self.automaton.iter(piece.decode("latin-1")):
+            if last[at] is not None:
                 continue
-            before = end - length
-            if before:
-                row = after[before]
-                if row is None:
-                    continue
-                fits = row.get(token)
-                if fits is None:
-                    fits = row[token] = self.compatible(last[before], token)
-                if not fits:
-                    continue
-            row = beside.get(token)
-            if row is None:
-                row = beside[token] = {}
-            after[end], last[end], lengths[end] = row, token, length
+            length, token, beside = match
+            row = after[at - length]
+            fits = row.get(token)
+            if fits is None:
+                fits = row[token] = self.compatible(last[at - length][1], token)
+            if fits:
+                last[at], after[at] = match, beside
         ids = []
-        while n > 0:
-            ids.append(last[n])
-            n -= lengths[n]
-        return tuple(reversed(ids))
+        at = n - 1
+        while at >= 0:
+            length, token, _ = last[at]
+            ids.append(token)
+            at -= length
+        ids.reverse()
+        return tuple(ids)
 
     def encode_part(self, text: str, pieces: list[str] | None = None) -> tuple[int, ...]:
         """The ids of text without special tokens, by its pre-tokens."""
-        known, out = self.known, []
+        known, words, out = self.known, self.words, []
         for piece in pieces or self.pieces.findall(text):
+            if piece[0] == " " and piece[1:].isalpha():
+                out += words[piece[1:]]
+                continue
             ids = known.get(piece)
             if ids is None:
                 ids = self.encode_piece(piece.encode())
@@ -167,18 +169,20 @@ class Vocabulary(Decoder):
         """The ids of a whole text; strings of special tokens become their ids."""
         if not text:
             return []
-        if len(self.known) + len(self.words) > REMEMBERED:
+        if len(self.known) + len(self.words) > REMEMBERED // 2:
             self.known.clear()
-            self.words.clear()
-            if sum(map(len, self.beside.values())) > REMEMBERED:
-                self.beside.clear()
+            self.words.before = {}
+            self.words = _Words(self, self.words)
+            if sum(map(len, self.beside)) > REMEMBERED:
+                for row in self.beside:
+                    row.clear()
         out: list[int] = []
         for k, part in enumerate(self.split.split(text) if self.split else [text]):
             if k % 2:
                 out.append(self.special[part])
             elif not part:
                 continue
-            elif self.loose.search(part):
+            elif part[0] == " " or part[-1].isspace() or self.loose.search(part):
                 out += self.encode_part(part)
             else:
                 # A space between two characters that are none always begins a pre-token, so words can be taken one by one.
@@ -226,10 +230,12 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded_text", pa
     content = _content(df, path)
 
     def run(rows):
-        one = _vocabulary(content, Decoder).decode
-        return [[one(r) for r in rows]]
+        one, flat = _vocabulary(content, Decoder).decode, rows.flatten().to_numpy(zero_copy_only=False).tolist()
+        # Lengths rather than offsets: those of a slice begin anywhere, and a null has no length.
+        ends = list(accumulate(n or 0 for n in rows.value_lengths().to_pylist()))
+        return [[one(flat[a:b]) for a, b in zip([0, *ends], ends)]]
 
-    return with_python(df, run, [ids], [T.StructField(text, T.StringType())])
+    return with_python(df, run, [ids], [T.StructField(text, T.StringType())], arrow=True)
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ STAGES = [
     ("PII", sanitise),
     ("BPE encoding and decoding", encode),
 ]
-#: Learnt scores, fingerprints and BPE have no SQL. The stages are tested alone; run() has no brute-force test yet.
+#: Learnt scores, fingerprints and BPE have no SQL; run() is tested against a plain version of its stages.
 ORACLE_SQL = None
 
 

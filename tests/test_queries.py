@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from quarrymap.plans import records, search
+from quarrymap.plans import records, runtime, search
 
 DATA = "/root/testdata/sf0.001"
-ORACLES = search.ORACLES | records.ORACLES
-QUERIES = search.QUERIES | records.QUERIES
+ORACLES = search.ORACLES | records.ORACLES | runtime.ORACLES
+QUERIES = search.QUERIES | records.QUERIES | runtime.QUERIES
 
 
 def plain(v):

@@ -57,8 +57,8 @@ def limited(df: DataFrame, key: str, time: str, order: str, limit: int, seconds:
 def limited_stream(df: DataFrame, key: str, time: str, order: str, limit: int, seconds: int, delay: str) -> DataFrame:
     """The same for a stream: hits are judged in the order of the batches, and in order of time within each.
 
-    Rows later than that are not returned. Columns of whole numbers that hold nulls pass through as floating point.
-    A key's state goes once the watermark, ``delay`` behind the newest time, passes its window.
+    The watermark is ``delay`` behind the newest time: older rows are not returned, and a key's state goes once its window
+    is older. Columns of whole numbers that hold nulls pass through as floating point.
     """
     span, plain = seconds * 1_000_000, df.drop("allowed")
     kept = plain.columns

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymap.functions.replies import salvage, salvaged
+from quarrymap.operators.merge import digests, merge, picked
 from quarrymap.operators.records import first_of_key, last_of_key
 from quarrymap.sources.workbook import read_workbooks, records, workbook_bytes, write_workbook
 from quarrymap.streaming.rate import limited, limited_stream
@@ -74,3 +75,34 @@ def test_records_by_key(spark):
     assert sorted((r._id, r.k, r.v) for r in first_of_key(df, ["k"], "pos").collect()) == [(0, "b", "y"), (1, "a", "z"), (2, "c", None)]
     assert sorted((r.k, r.pos) for r in last_of_key(df, ["k"], "pos").collect()) == [("a", 3), ("b", 1), ("c", 9)]
     assert first_of_key(df.limit(0), ["k"], "pos").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("prior", "origin", "source", "cleaned", "want"),
+    [
+        (None, None, "s", None, ("s", "kaynak")),
+        ("", "x", "", "", ("", "")),
+        ("p", "", "s", None, ("p", "onceki")),
+        ("p", "yonetici", "s", None, ("p", "yonetici")),
+        ("p", "kaynak", "s", None, ("s", "kaynak")),
+        ("p", "kaynak", None, None, ("p", "kaynak")),
+        ("p", "kaynak", "s", "s", ("p", "kaynak")),
+        ("p", "kaynak", "t", "s", ("t", "kaynak")),
+    ],
+)
+def test_picked(spark, prior, origin, source, cleaned, want):
+    row = spark.createDataFrame([(prior, origin, source, cleaned)], "p string, o string, s string, c string")
+    assert tuple(row.select(picked(*map(F.col, "posc")).alias("x")).first().x) == want
+
+
+def test_merge_of_empty_tables(spark):
+    rows = spark.createDataFrame([(1, "a")], "k long, f string")
+    assert [tuple(r) for r in merge(rows.limit(0), rows, ["k"], ["f"]).collect()] == [(1, "added", "a", "kaynak", "")]
+    assert [tuple(r) for r in merge(rows, rows.limit(0), ["k"], ["f"]).collect()] == [(1, "removed", "a", "onceki", "a")]
+    assert [r.kind for r in merge(rows, rows.limit(0), ["k"], ["f"], catalog=rows).collect()] == ["kept"]
+
+
+def test_digests_know_no_order(spark):
+    rows = [("a", "x", None), ("a", "y", "1"), ("b", "y", "1"), ("b", "x", ""), ("c", "x", ""), ("c", "x", ""), ("d", "x", "")]
+    found = {r.k: r.digest for r in digests(spark.createDataFrame(rows, "k string, n string, d string"), ["k"], ["n", "d"]).collect()}
+    assert found["a"] == found["b"] and len(set(found.values())) == 3

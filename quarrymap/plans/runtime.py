@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quarrymap.functions.descriptions import valid_description
 from quarrymap.functions.replies import salvaged
 from quarrymap.operators.merge import digests, field_changes, merge
 from quarrymap.operators.records import first_of_key
@@ -75,7 +76,18 @@ def changed_digests(spark, sf_dir):
     return old.join(new, "l_orderkey").where("digest <> now").select("l_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (rate_limited, reply_salvage, workbook_scan, dictionary_columns, reconciled_parts, reconciled_changes, changed_digests)}
+#: Descriptions of parts, and the facts that they may name.
+DESCRIBED = "CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || p_size || '.' WHEN 1 THEN p_name || ', T' || p_size || '.' ELSE p_name END"
+FACTS = "CASE WHEN p_partkey % 2 = 0 THEN p_size || ' ' || p_name ELSE p_name END"
+
+
+def valid_descriptions(spark, sf_dir):
+    """Which descriptions pass the mechanical checks."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.expr(DESCRIBED).alias("t"), F.expr(FACTS).alias("f"))
+    return part.select("p_partkey", valid_description(F.col("t"), F.col("f"), 40).alias("valid"))
+
+
+QUERIES = {f.__name__: f for f in (rate_limited, reply_salvage, workbook_scan, dictionary_columns, reconciled_parts, reconciled_changes, changed_digests, valid_descriptions)}
 _MERGED = f"""
 WITH p AS ({SNAPSHOT.format(part='part')}), s AS (SELECT p_partkey, p_name, p_type FROM part WHERE p_partkey % 11 <> 0),
 j AS (
@@ -116,4 +128,8 @@ SELECT row_number() OVER (ORDER BY event_id) - 1 AS id, user_id, event_type, eve
 SELECT p_partkey, 'p_name' AS field, p_name_old AS old, p_name AS new, p_name_origin AS origin FROM merged WHERE kind = 'changed' AND p_name <> p_name_old
 UNION ALL SELECT p_partkey, 'p_type', p_type_old, p_type, p_type_origin FROM merged WHERE kind = 'changed' AND p_type <> p_type_old""",
     "changed_digests": "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber = 2 AND l_returnflag <> 'R'",
+    "valid_descriptions": rf"""
+WITH x AS (SELECT p_partkey, {DESCRIBED} AS t, {FACTS} AS f FROM part)
+SELECT p_partkey, length(t) <= 40 AND ends_with(t, '.') AND NOT regexp_matches(t, '\bT\d+\b')
+       AND len(list_filter(regexp_extract_all(t, '\d+(?:[.,]\d+)?'), lambda n: NOT list_contains(regexp_extract_all(f, '\d+(?:[.,]\d+)?'), n))) = 0 AS valid FROM x""",
 }

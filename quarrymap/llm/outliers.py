@@ -4,7 +4,8 @@ Every text gives counts; a transformed vector of them is compared with the minim
 group, the rows of one language and source. Concentration steps find that estimate: from medians and absolute deviations on,
 each step keeps the ``SUBSET`` share of a group's rows with the smallest Mahalanobis distances and takes their mean and
 covariance. All rows count at every step; groups are only ever aggregated, so no group meets in one task. Groups with fewer
-than ``LEAST`` rows use the estimate of all rows. Variances have a floor, since most texts have none of some counts.
+than ``LEAST`` rows use the estimate of all rows. A group's own covariance sets the distance in every direction in which its
+rows differ; most texts have none of some counts, and only directions without any variance get that of ``FLOORS``.
 
 Null and empty texts have no words and fail the base rule. Null languages and sources are groups of their own. Repeated rows
 are judged alike and counted as often as they come. Other columns pass through; columns of the result's names are replaced.
@@ -28,13 +29,15 @@ WINDOW = 8
 LEAST, SUBSET, STEPS = 50, 0.75, 3
 #: Groups that are broadcast at most, at 200 bytes each; tasks for tables with a row for each group.
 FEW_GROUPS, GROUP_TASKS = 20_000, 16
-#: Smallest standard deviations: log words, characters a word, symbol rate, repeated lines, repeated words.
+#: Standard deviations where a group has none: log words, characters a word, symbol rate, repeated lines, repeated words.
 FLOORS = [0.9, 0.45, 0.05, 0.25, 0.15]
 N = len(FLOORS)
 #: Squared distance beyond which a row is an outlier, about the 1 - 1e-7 quantile of chi-squared with five degrees of freedom.
 CUTOFF = 42.0
-#: Median of chi-squared with five degrees of freedom: distances are scaled to it.
-MEDIAN = 4.3515
+#: Variance in units of ``FLOORS`` up to which a direction has none, but for rounding.
+DEGENERATE = 1e-9
+#: Medians of chi-squared with one to five degrees of freedom: distances are scaled to that of the directions with variance.
+MEDIANS = [0.4549, 1.3863, 2.3660, 3.3567, 4.3515]
 
 _SPLIT = re.compile(r"[^ \t-\r]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -77,16 +80,18 @@ def _vector():
 
 
 def _inverse(covariances):
-    out = []
+    out, ranks = [], []
     for c in covariances:
         m = np.zeros((N, N))
         m[np.triu_indices(N)] = c
         m = m + np.triu(m, 1).T
-        # In units of the floors no direction has a variance below one: the inverse exists, however the counts depend on each other.
+        # Directions without variance have one in units of the floors: the inverse exists, however the counts depend on each other.
         values, vectors = np.linalg.eigh(np.nan_to_num(m) / np.outer(FLOORS, FLOORS))
-        inverse = (vectors / np.maximum(values, 1)) @ vectors.T / np.outer(FLOORS, FLOORS)
+        own = values > DEGENERATE
+        inverse = (vectors / np.where(own, values, 1)) @ vectors.T / np.outer(FLOORS, FLOORS)
         out.append(inverse[np.triu_indices(N)].tolist())
-    return [out]
+        ranks.append(int(own.sum()))
+    return [out, ranks]
 
 
 def _distance(estimates_mean: str, inverse: str):
@@ -117,8 +122,8 @@ def _with_group(rows: DataFrame, groups: DataFrame, by: list[str], few: bool) ->
 
 
 def _inverted(groups: DataFrame, drop: list[str]) -> DataFrame:
-    """(mean, inverse) for (mean, covariance), written out; a row for each group, so a few tasks do."""
-    out = [T.StructField("inverse", T.ArrayType(T.DoubleType()))]
+    """(mean, inverse, rank) for (mean, covariance), written out; a row for each group, so a few tasks do."""
+    out = [T.StructField("inverse", T.ArrayType(T.DoubleType())), T.StructField("rank", T.IntegerType())]
     return checkpointed(with_python(groups.coalesce(GROUP_TASKS), _inverse, ["covariance"], out, drop=["covariance", *drop]))
 
 
@@ -131,12 +136,14 @@ def _estimates(rows: DataFrame, by: list[str]) -> DataFrame:
     diagonal = [F.pow(F.col(f"s{i}") * 1.4826, 2) if i == j else F.lit(0.0) for i in range(N) for j in range(i, N)]
     now = _inverted(spread.select(*by, "mean", F.array(*diagonal).alias("covariance")), [])
     for _ in range(STEPS):
-        far = _with_group(rows, now, by, few).withColumn("d", _distance("mean", "inverse")).drop("mean", "inverse")
+        far = _with_group(rows, now, by, few).withColumn("d", _distance("mean", "inverse")).drop("mean", "inverse", "rank")
         limits = far.groupBy(*by).agg(F.percentile_approx("d", SUBSET, 2000).alias("limit"))
         near = _with_group(far, limits, by, few).where("d <= limit")
         now = _inverted(_moments(near, by), ["n"])
-    scale = _with_group(rows, now, by, few).groupBy(*by).agg(F.greatest(F.percentile_approx(_distance("mean", "inverse"), 0.5, 2000) / MEDIAN, F.lit(1.0)).alias("scale"), F.count(F.lit(1)).alias("n"))
-    return checkpointed(now.join(scale.coalesce(GROUP_TASKS), by))
+    middle = _with_group(rows, now, by, few).groupBy(*by).agg(F.percentile_approx(_distance("mean", "inverse"), 0.5, 2000).alias("d"), F.first("rank").alias("rank"), F.count(F.lit(1)).alias("n"))
+    # The consistency factor; where half of the rows are in one place there is none.
+    scale = middle.select(*by, F.when((F.col("rank") > 0) & (F.col("d") > 0), F.col("d") / F.array(*map(F.lit, MEDIANS))[F.col("rank") - 1]).otherwise(1.0).alias("scale"), "n")
+    return checkpointed(now.drop("rank").join(scale.coalesce(GROUP_TASKS), by))
 
 
 def judge(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:

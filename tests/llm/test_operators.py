@@ -162,6 +162,16 @@ def test_quality_rules_odd_rows(spark, odd):
     assert outliers.judge(odd.limit(0)).count() == 0
 
 
+def test_quality_rules_by_own_covariance(spark):
+    """A row far out for its group, or against its group's correlation, is one however small the group's spread is."""
+    tight = [(i, " ".join(f"{i}w{j}".ljust(5 + i % 2, "x") for j in range(100 + i % 7)), "en", "a") for i in range(100, 300)]
+    along = [(i, " ".join(f"{i}w{j}".ljust(7 + i % 5 + i % 3 % 2, "x") for j in range(100 + 20 * (i % 5) + i % 4)), "en", "b") for i in range(300, 500)]
+    far = (1, " ".join(f"w{j}".ljust(5, "x") for j in range(200)), "en", "a")
+    across = (2, " ".join(f"w{j}".ljust(11, "x") for j in range(100)), "en", "b")
+    rows = outliers.judge(spark.createDataFrame([*tight, *along, far, across], "doc_id long, text string, lang string, source string")).collect()
+    assert sorted(r.doc_id for r in rows if not r.base_failed and not r.kept) == [1, 2]
+
+
 def test_singular_covariances_have_inverses():
     ones = [[1.0] * (outliers.N * (outliers.N + 1) // 2), [0.0] * (outliers.N * (outliers.N + 1) // 2)]
     for inverse in outliers._inverse(ones)[0]:

@@ -1,11 +1,12 @@
 """Personal data by information-theoretic sanitisation, by DataFrame functions only.
 
-Patterns find the protected entities: e-mail addresses, IP addresses, card numbers and telephone numbers. Terms that stand
-near an entity may reveal it as well. How strongly, corpus co-occurrence tells: with document counts N, n(c), n(t), n(c, t)
-the pointwise mutual information log2(n(c, t) N / (n(c) n(t))) is set against the entity's own information log2(N / n(c));
-a term that gives ``DISCLOSURE`` of it or more, in ``SUPPORT`` different contexts or more, is a span too, of kind ``term``,
-wherever it stands near that entity. Counts are over all documents. Different contexts are counted by their text, so that
-copies of a document are one piece of evidence, not many.
+Patterns find the protected entities: e-mail addresses, IP addresses, card numbers and telephone numbers; spellings of one
+address or number are one entity. Terms in a document with an entity may reveal it as well. How strongly, corpus co-occurrence
+tells: with document counts N, n(c), n(t), n(c, t) the pointwise mutual information log2(n(c, t) N / (n(c) n(t))) is set
+against the entity's own information log2(N / n(c)); a term that gives ``DISCLOSURE`` of it or more, in ``SUPPORT`` different
+texts or more, is a span too, of kind ``term``, wherever it stands outside the base spans, in any document. Counts are over
+all documents. Different texts are counted, so that copies of a document are one piece of evidence, not many; of an entity
+in fewer texts, chance and disclosure can't be told apart, since any rare word beside it would count.
 
 Null and empty texts have no spans. Repeated rows have the same spans. Rows with null ids are judged by their text. Other
 columns pass through ``sanitise``; the base spans of a text depend on it alone.
@@ -27,11 +28,13 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Share of an entity's information that a term must give to be a span, and the different contexts that must show it.
+#: Share of an entity's information that a term must give to be a span, and the different texts that must show it.
 DISCLOSURE, SUPPORT = 0.9, 3
-#: Characters on either side of an entity in which terms are sought; letters that a term has at least.
-NEAR, TERM = 60, r"\p{L}{4,}+"
-#: Candidate terms up to which they are broadcast for counting; beyond, counting shuffles the terms of all texts.
+#: A term: letters that it has at least.
+TERM = r"\p{L}{4,}+"
+#: Nothing here is bounded by it any more: the tests' plain version of terms reads it, on texts where it makes no difference.
+NEAR = 60
+#: Terms up to which they are broadcast; beyond, counting shuffles the terms of all texts.
 BROADCAST_TERMS = 20_000
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -67,16 +70,15 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _contexts(text: Column, spans: dict[str, Column]) -> Column:
-    """For each base span: the entity and the text on either side, with the place where each side begins."""
-    one = lambda kind: lambda m: F.struct(
-        F.concat(F.lit(kind + "|"), F.lower(m["value"])).alias("entity"),
-        F.array(
-            F.struct(F.greatest(m["start"] - NEAR, F.lit(0)).alias("at"), F.substring(text, F.greatest(m["start"] - NEAR, F.lit(0)) + 1, F.least(m["start"], F.lit(NEAR))).alias("side")),
-            F.struct(m["end"].alias("at"), F.substring(text, m["end"] + 1, F.lit(NEAR)).alias("side")),
-        ).alias("sides"),
-    )
-    return F.concat(*(F.transform(spans[k], one(k)) for k in KINDS))
+def _entities(spans: dict[str, Column]) -> Column:
+    """The distinct entities of the base spans: without case and sub-address of e-mails, or the separators of numbers."""
+    normal = {"email": lambda v: F.regexp_replace(F.lower(v), r"\+[^@]*", ""), "ip": lambda v: v, "card": _digits, "phone": _digits}
+    one = lambda kind: lambda m: F.concat(F.lit(kind + "|"), normal[kind](m["value"]))
+    return F.array_distinct(F.concat(*(F.transform(spans[k], one(k)) for k in KINDS)))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def find(docs: DataFrame, id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -91,34 +93,34 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", disclosure: fl
     kept = {k: F.col(f"_{k}") for k in KINDS}
     placed = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
     spans = F.concat(*(F.transform(kept[k], placed(k)) for k in KINDS))
-    base = checkpointed(rows.select(id, "_key", spans.alias("spans"), _contexts(F.col("_text"), kept).alias("contexts")))
-
-    near = base.where(F.size("contexts") > 0).select("_key", F.explode("contexts").alias("c")).distinct()
-    near = near.select("_key", "c.entity", F.xxhash64(F.col("c.sides").getField("side")).alias("context"), F.explode("c.sides").alias("s"))
-    near = near.select("_key", "entity", "context", "s.at", F.explode(matches(F.col("s.side"), TERM)).alias("m"))
-    # A word that the border of the context may cut isn't a term there.
-    near = near.where(~((F.col("m.start") == 0) & (F.col("at") > 0)) & (F.col("m.end") < NEAR))
-    near = near.select("_key", "entity", "context", F.lower("m.value").alias("term"), (F.col("at") + F.col("m.start")).alias("start"), (F.col("at") + F.col("m.end")).alias("end"))
-    near = checkpointed(near.where(~F.col("entity").contains(F.col("term"))))
-    entities = near.groupBy("entity").agg(F.count_distinct("_key").alias("n_c"))
+    base = checkpointed(rows.select(id, "_key", spans.alias("spans"), F.xxhash64("_text").alias("_of"), _entities(kept).alias("entities")))
+
     n = F.lit(max(1, base.count()))
     known = F.log2(n / F.col("n_c"))
-    told = lambda n_t: F.log2(F.col("n_ct") * n / (F.col("n_c") * n_t))
-    both = near.groupBy("entity", "term").agg(F.count_distinct("_key").alias("n_ct"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
-    # A term is in at least as many documents as it is near entities in, so one that tells too little by that count is none.
-    beside = near.groupBy("term").agg(F.count_distinct("_key").alias("n_near"))
-    both = checkpointed(both.join(entities, "entity").join(beside, "term").where((known > 0) & (told(F.col("n_near")) >= disclosure * known)))
-
-    candidates = both.select("term").distinct()
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_candidates = candidates.count()
-    if n_candidates == 0:
+    told = F.log2(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t")))
+    named = base.where(F.size("entities") > 0).select("_key", "_of", F.explode("entities").alias("entity")).distinct()
+    # An entity in fewer different texts has no term with more.
+    entities = named.groupBy("entity").agg(F.count_distinct("_key").alias("n_c"), F.count_distinct("_of").alias("texts"))
+    shared = checkpointed(named.join(entities.where((F.col("texts") >= support) & (known > 0)).drop("texts"), "entity"))
+    if shared.isEmpty():
         return base.select(id, "_key", "spans")
-    small = n_candidates <= BROADCAST_TERMS
-    # Either way every text is counted; few candidates are compared before the shuffle, many after it.
-    counted = (terms.join(F.broadcast(candidates), "term", "left_semi") if small else terms).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    telling = both.join(counted, "term").where(told(F.greatest("n_t", "n_near")) >= disclosure * known).select("entity", "term")
-    added = near.join(telling, ["entity", "term"]).groupBy("_key").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("_added"))
+    texts = rows.select("_key", "_text")
+    worded = texts.join(shared.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"]).select("_key", _terms(F.col("_text")).alias("terms"))
+    both = shared.join(worded, "_key").select("entity", "n_c", "_key", "_of", F.explode("terms").alias("term"))
+    both = both.groupBy("entity", "term").agg(F.first("n_c").alias("n_c"), F.count_distinct("_key").alias("n_ct"), F.count_distinct("_of").alias("shown"))
+    both = checkpointed(both.where(F.col("shown") >= support))
+
+    def among(terms: DataFrame, some: DataFrame) -> DataFrame:
+        return terms.join(F.broadcast(some) if some.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else some, "term", "left_semi")
+
+    each = texts.select("_key", F.explode(_terms(F.col("_text"))).alias("term"))
+    counted = among(each, both.select("term").distinct()).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    telling = checkpointed(both.join(counted, "term").where(told >= disclosure * known).select("term").distinct())
+    holders = among(each, telling).groupBy("_key").agg(F.collect_set("term").alias("terms"))
+    marked = base.select("_key", "spans").dropDuplicates(["_key"]).join(holders, "_key").join(texts.dropDuplicates(["_key"]), "_key")
+    outside = lambda m: ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
+    found = F.filter(F.filter(matches(F.col("_text"), TERM), lambda m: F.array_contains("terms", F.lower(m["value"]))), outside)
+    added = marked.select("_key", F.transform(found, placed("term")).alias("_added"))
     return base.join(added, "_key", "left").select(id, "_key", F.when(F.col("_added").isNull(), F.col("spans")).otherwise(F.concat("spans", "_added")).alias("spans"))
 
 

@@ -137,6 +137,16 @@ def test_pii_terms(spark):
     assert rows[100] == others[0][1]
 
 
+def test_pii_terms_anywhere(spark):
+    """A telling term is one far from the entity, in a document without it, and inside it; spellings are one entity."""
+    far = "word " * 40
+    near = [(i, f"{'abcdef'[i]}{i} {e} {far} Zebulon {'abcdef'[i]}") for i, e in enumerate(["quist@y.org", "QUIST@y.org", "quist+a@y.org"])]
+    other = [(10, "seen was Zebulon with Quist"), *((100 + i, f"plain {far} number {i}") for i in range(60))]
+    rows = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(near + other, "doc_id long, text string")).collect()}
+    assert [rows[i] for i in range(3)] == [f"{'abcdef'[i]}{i} [EMAIL] {far} [TERM] {'abcdef'[i]}" for i in range(3)]
+    assert rows[10] == "seen was [TERM] with [TERM]" and rows[100] == other[1][1]
+
+
 def test_quality_held_out(spark):
     data = "/root/testdata/sf0.01"
     labels = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{data}/labels.parquet'").fetchall())

@@ -9,7 +9,7 @@ is there exactly if the other shingles are hits at the following positions.
 
 The benchmark is the stated query set. It is taken in blocks of a bounded number of windows, each of which visits all rows;
 documents are never shuffled or sampled. Null and empty texts have no words and no hits. Repeated rows are judged alike;
-items that repeat, or share windows, all count. Other columns pass through; columns of the result's names are replaced.
+items that repeat, or share windows, all count; those without an id count as hits and are in no list of ids. Other columns pass through; columns of the result's names are replaced.
 """
 
 from __future__ import annotations
@@ -43,12 +43,12 @@ def _shingles(window: tuple[bytes, ...]) -> list[tuple[bytes, ...]]:
     return [window[i : i + k] for i in range(len(window) - k + 1)]
 
 
-def _windows(texts, items):
+def _windows(texts):
     found = []
-    for text, item in zip(texts, items, strict=True):
+    for text in texts:
         w = words(text)
         n = min(WINDOW, len(w))
-        found.append([] if item is None else sorted({b" ".join(w[i : i + n]).decode() for i in range(len(w) - n + 1)}) if w else [])
+        found.append(sorted({b" ".join(w[i : i + n]).decode() for i in range(len(w) - n + 1)}) if w else [])
     return [found]
 
 
@@ -96,9 +96,9 @@ def _verify(counts, ats, ids, starts, ends, items, prefixes):
 
 
 def benchmark_windows(items: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
-    """The distinct (item, window) of the benchmark; items without an id or without words have none."""
+    """The distinct (item, window) of the benchmark; items without words have none."""
     texts = items.select(F.col(id).cast("string").alias("item"), F.col(text).alias("text"))
-    made = with_python(texts, _windows, ["text", "item"], [T.StructField("windows", T.ArrayType(T.StringType()))], drop=["text"])
+    made = with_python(texts, _windows, ["text"], [T.StructField("windows", T.ArrayType(T.StringType()))], drop=["text"])
     return made.select("item", F.explode("windows").alias("window")).distinct()
 
 
@@ -115,7 +115,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
         """One block's windows and their items; in expectation ``block`` pairs, whatever the benchmark's size."""
         out = defaultdict(list)
         for r in windows.where(F.col("block") == k).toLocalIterator():
-            out[tuple(r.window.encode().split(b" "))].append(r.item)
+            out[tuple(r.window.encode().split(b" "))] += [] if r.item is None else [r.item]
         return out
 
     longs, texts = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())

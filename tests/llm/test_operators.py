@@ -104,6 +104,14 @@ def test_decontaminate(spark):
     assert decontaminate.keep_clean(spark.createDataFrame(docs, "doc_id long, text string"), empty).count() == len(docs)
 
 
+def test_decontaminate_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "seven")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "two three"), (None, "five"), (8, "five")], "item_id long, text string")
+    found = sorted((r.doc_id, r.hit_starts, r.hit_ends, r.item_ids) for r in decontaminate.find(docs, items, block=1).collect())
+    assert found == [(1, [1], [3], []), (2, [1], [2], ["8"]), (3, [], [], [])]
+    assert [r.doc_id for r in decontaminate.keep_clean(docs, items).collect()] == [3]
+
+
 def brute_spans(text):
     text, out = text or "", []
     patterns = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]

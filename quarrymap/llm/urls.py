@@ -2,7 +2,7 @@
 
 The longest fitting host and path rule gives the verdict. Only URLs that none fits are put to the pattern rules. Each pattern
 is filed under that of its literal tokens which occurs in the fewest patterns; a URL's tokens fetch the patterns that could
-match, and only their regular expressions are run. Any match blocks.
+match, and only their regular expressions are run. Patterns without a whole token are run on every URL. Any match blocks.
 
 Null URLs and those without ``://`` have empty host and path, no rule, and are allowed. Repeated rows are judged alike; other
 columns pass through, and columns of the result's names are replaced.
@@ -23,15 +23,15 @@ from quarrymap.session import table
 
 #: (host and path, verdict) in any order.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-#: (literal tokens that every match contains as whole tokens, regular expression over the lower-cased URL).
+#: (literal tokens that every match contains as whole tokens, bounded on both sides, if any; regular expression over the lower-cased URL).
 PATTERNS = [
     (("spam", "farm"), r"://(?:[^/?#]*\.)?spam-farm\."),
     (("cheap", "pills"), r"://(?:[^/?#]*\.)?cheap-pills\."),
     (("casino",), r"[./-]casino[./-]"),
-    (("free", "money"), r"free-money"),
+    ((), r"free-money"),
     (("xxx",), r"[./-]xxx[./-]"),
     (("click", "bait"), r"://(?:[^/?#]*\.)?click-bait\."),
-    (("track", "pixel"), r"/track/pixel"),
+    (("track",), r"/track/pixel"),
     (("doubleclick",), r"[./]doubleclick\."),
 ]
 _TOKENS = re.compile(r"[a-z0-9]+")
@@ -57,11 +57,11 @@ def rule_index(rules) -> dict[str, list[tuple[str, str, str]]]:
 
 
 def pattern_index(patterns) -> dict[str, list[str]]:
-    """The regular expressions under the rarest literal token of each."""
+    """The regular expressions under the rarest literal token of each; under an empty one, those without."""
     count = Counter(t for tokens, _ in patterns for t in set(tokens))
     out = defaultdict(list)
     for tokens, pattern in patterns:
-        out[min(tokens, key=lambda t: (count[t], t))].append(pattern)
+        out[min(tokens, key=lambda t: (count[t], t), default="")].append(pattern)
     return dict(out)
 
 
@@ -77,7 +77,7 @@ def _judge(urls, rules, patterns):
                     best = rule, verdict
         if best is None:
             low = (url or "").lower() if host or path else ""
-            fetched = {p for t in set(_TOKENS.findall(low)) for p in patterns.get(t, ())}
+            fetched = {p for t in {"", *_TOKENS.findall(low)} for p in patterns.get(t, ())}
             verdict = "block" if any(re.search(p, low) for p in sorted(fetched)) else "allow"
         hosts.append(host)
         paths.append(path)

@@ -221,6 +221,15 @@ def test_urls(spark):
     ]
 
 
+def test_url_patterns_lose_no_match():
+    """The index against every pattern on every URL."""
+    literals = ["spam-farm", "cheap-pills", "casino", "free-money", "xxx", "click-bait", "track/pixel", "doubleclick"]
+    found = [f"http://{host}/{path}" for x in literals for a in ("", "x", "a.", "9-", "/") for b in ("", "s.gif", "2", ".net", "/q") for host, path in ((f"{a}{x}{b}", ""), ("a.b", a + x + b), ("a.b", f"c?d={a}{x}{b}"))]
+    verdicts = urls._judge(found, {}, urls.pattern_index(urls.PATTERNS))[3]
+    assert verdicts == ["block" if any(re.search(p, url) for _, p in urls.PATTERNS) else "allow" for url in found]
+    assert urls._judge(["http://a.b/track/pixels.gif", "http://a.b/xfree-money"], {}, urls.pattern_index(urls.PATTERNS))[3] == ["block", "block"]
+
+
 def test_licenses(spark):
     mit, gpl = licenses.TEMPLATES["MIT"][1], licenses.TEMPLATES["GPL-3.0"][0]
     files = [("a/LICENSE", mit), ("a/b/c.py", "x = 1"), ("a/b/COPYING", gpl), ("a/b/d/e.py", None), ("a/z.py", "Licensed under CC BY 4.0."), ("q/r.py", ""), (None, "hi"), ("a/b/c.py", "x = 1")]

@@ -107,8 +107,10 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", disclosure: fl
     texts = rows.select("_key", "_text")
     worded = texts.join(shared.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"]).select("_key", _terms(F.col("_text")).alias("terms"))
     both = shared.join(worded, "_key").select("entity", "n_c", "_key", "_of", F.explode("terms").alias("term"))
+    # A term is in at least as many documents as it is beside these entities in, so one that tells too little by that count is none.
+    beside = both.groupBy("term").agg(F.count_distinct("_key").alias("n_t"))
     both = both.groupBy("entity", "term").agg(F.first("n_c").alias("n_c"), F.count_distinct("_key").alias("n_ct"), F.count_distinct("_of").alias("shown"))
-    both = checkpointed(both.where(F.col("shown") >= support))
+    both = checkpointed(both.where(F.col("shown") >= support).join(beside, "term").where(told >= disclosure * known).drop("n_t"))
 
     def among(terms: DataFrame, some: DataFrame) -> DataFrame:
         return terms.join(F.broadcast(some) if some.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else some, "term", "left_semi")

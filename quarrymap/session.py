@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
 
-#: Used only where the session names no folder of its own (tests, notebooks).
-LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of checkpoints and stage results, which all executors share.
 
-    ``spark.checkpoint.dir`` names it; a local one is set only where that is unset.
+    ``spark.checkpoint.dir`` names it. Where that is unset, a session of one machine gets a temporary folder; a cluster's
+    executors could not read one, so there it is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -28,3 +32,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, and read from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, already written out, marked for broadcast if it has at most ``rows`` rows; joins work either way."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

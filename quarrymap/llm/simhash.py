@@ -8,12 +8,15 @@ they are small, which loses no pair for the same reason. A file returns a spanni
 
 Null and empty texts, and texts without words, have fingerprint zero and are linked like any other. Equal texts share a
 fingerprint and so a component. Rows are judged singly: repeated rows are returned as often as they come. A null id counts
-for no component's smallest id. Other columns pass through; columns of the result's names are replaced.
+for no component's smallest id, but its fingerprint links like any other. Whole texts are read, however long. An empty table
+gives an empty table. Other columns pass through, those of the result's names are replaced; helper columns begin with
+``_qm_``, names that a table must not have.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import partial, reduce
 from itertools import combinations
 
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymap.llm.arrow import groups, with_python
-from quarrymap.session import checkpointed, table
+from quarrymap.session import bounded, checkpointed, table
 
 SEED = 42
 SHINGLE = 3
@@ -33,11 +36,11 @@ BUDGET = 3
 #: Borders of the five blocks.
 BLOCKS = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]
 #: Fingerprints beyond which a file is split.
-LARGE_FILE = 20_000
+LARGE_FILE = 2_000
 #: Times that a file is split at most; no file can be large then.
 SPLITS = 4
-#: Pairs of leaves that are compared at once instead of walking further down.
-LEAVES = 4096
+#: Rows to drop that are broadcast at most, at two longs each.
+DROPPED = 1_000_000
 
 _WORDS = re.compile(rb"[^ \t-\r]+")
 
@@ -95,59 +98,65 @@ class _Forest:
         return True
 
 
-def trie_links(values: np.ndarray, budget: int = BUDGET) -> list[tuple[int, int]]:
+def trie_links(values: np.ndarray, budget: int = BUDGET, told: dict[str, int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest, as pairs of positions, of the links between ``values``: sorted, distinct, unsigned.
 
-    A node of the trie is a range of the sorted values that share their first bits. A pair of nodes whose values are one
-    component already is left alone.
+    A node of the trie is a range of the sorted values that share their first bits, down to the bit where they part; single
+    values are leaves. From the root's pair with itself on, the node of a pair that parts higher up is replaced by its two
+    children. The bits above both nodes' parting are the errors of their paths so far; a pair beyond the budget is left, a
+    pair of leaves within it is a link. A pair of nodes whose values are one component already is left alone. ``told``
+    counts the pairs that were visited and those that were left for their errors.
     """
-    n = len(values)
-    forest, links = _Forest(n), []
-    one: dict[tuple[int, int], bool] = {}
+    whole = [int(v) for v in values]
+    forest, links = _Forest(len(whole)), []
+    one: set[tuple[int, int]] = set()
+    seen = pruned = 0
 
-    def whole(a: int, b: int) -> bool:
+    def parting(a: int, b: int) -> int:
+        """One more than the highest bit in which the values of a range differ; 0 for a leaf."""
+        return (whole[a] ^ whole[b - 1]).bit_length()
+
+    def middle(a: int, b: int, part: int) -> int:
+        """Where the values with the parting bit begin."""
+        return bisect_left(whole, whole[b - 1] >> (part - 1) << (part - 1), a, b)
+
+    def joined(a: int, b: int) -> bool:
         """Whether a range is one component; remembered once it is."""
         if b - a == 1 or (a, b) in one:
             return True
         r = forest.root(a)
         if all(forest.root(i) == r for i in range(a + 1, b)):
-            one[a, b] = True
+            one.add((a, b))
             return True
         return False
 
-    def half(a: int, b: int, bit: int) -> int:
-        """Where, in a range of values with equal bits above ``bit``, those with the bit set begin."""
-        if values[a] >> bit & np.uint64(1):
-            return a
-        top = (values[a] >> bit | np.uint64(1)) << bit
-        return a + int(np.searchsorted(values[a:b], top))
-
-    todo = [(0, n, 0, n, 63, 0)] if n > 1 else []
+    todo = [(0, len(whole), 0, len(whole))] if len(whole) > 1 else []
     while todo:
-        a, b, c, d, bit, errors = todo.pop()
-        same = a == c
-        if same and b - a == 1:
-            continue
-        if (b - a) * (d - c) <= LEAVES or bit < 0:
-            for i in range(a, b):
-                there = np.bitwise_count(values[i] ^ values[max(c, i + 1) if same else c : d])
-                for j in np.flatnonzero(there <= budget).tolist():
-                    j += max(c, i + 1) if same else c
-                    if forest.join(i, j):
-                        links.append((i, j))
+        a, b, c, d = todo.pop()
+        seen += 1
+        p, q = parting(a, b), parting(c, d)
+        if a == c:
+            if not p or b - a > 8 and joined(a, b):
+                continue
+            m = middle(a, b, p)
+            # The last one is walked first: what it joins need not be walked again.
+            todo += [(a, m, m, b), (a, m, a, m), (m, b, m, b)]
             continue
-        if b - a > 8 and whole(a, b) and (same or (whole(c, d) and forest.root(a) == forest.root(c))):
+        if ((whole[a] ^ whole[c]) >> max(p, q)).bit_count() > budget:
+            pruned += 1
+        elif not p and not q:
+            if forest.join(a, c):
+                links.append((a, c))
+        elif b - a + d - c > 8 and joined(a, b) and joined(c, d) and forest.root(a) == forest.root(c):
             continue
-        shift = np.uint64(bit)
-        m, k = half(a, b, shift), half(c, d, shift)
-        if same:
-            nodes = [(a, m, a, m, 0), (m, b, m, b, 0), (a, m, m, b, 1)]
+        elif p >= q:
+            m = middle(a, b, p)
+            todo += [(a, m, c, d), (m, b, c, d)]
         else:
-            nodes = [(a, m, c, k, 0), (m, b, k, d, 0), (a, m, k, d, 1), (m, b, c, k, 1)]
-        # Likely links come last here and so first off the stack: what they join need not be walked again.
-        for p, q, r, s, more in sorted(nodes, key=lambda x: -x[4]):
-            if p < q and r < s and errors + more <= budget:
-                todo.append((p, q, r, s, bit - 1, errors + more))
+            m = middle(c, d, q)
+            todo += [(a, b, c, m), (a, b, m, d)]
+    if told is not None:
+        told["visited"], told["pruned"] = told.get("visited", 0) + seen, told.get("pruned", 0) + pruned
     return links
 
 
@@ -158,13 +167,10 @@ def _file_links(batches, budget):
     for file in groups(batches, ["mask", "key"]):
         if file.num_rows < 2:
             continue
-        values = file.column("fp").to_numpy().view(np.uint64)
-        reps = file.column("rep").to_numpy()
-        order = np.argsort(values)
-        values, reps = values[order], reps[order]
+        values = np.sort(file.column("fp").to_numpy().view(np.uint64))
         if links := trie_links(values, budget):
             i, j = np.array(links).T
-            a, b = reps[i], reps[j]
+            a, b = values[i].view(np.int64), values[j].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_LINKS)
 
 
@@ -184,29 +190,29 @@ def _narrower(masks: list[int]) -> dict[int, list[int]]:
 
 
 def links(fps: DataFrame, large: int = LARGE_FILE) -> DataFrame:
-    """Links (a, b), a < b, between the ids ``rep`` of distinct fingerprints (fp, rep): enough to connect what is linked.
+    """Links (a, b), a < b as signed longs, between distinct fingerprints (fp): enough to connect what is linked.
 
     A file is a mask and the fingerprints that are equal under it. Files larger than ``large`` are filed anew under masks
     with more bits, as often as needed; after four times a mask leaves 13 bits free, so that no file can hold more than 8192.
     """
     spark = fps.sparkSession
     masks = [_mask([x for a, b in pair for x in range(a, b)]) for pair in combinations(BLOCKS, 2)]
-    filed = fps.select("fp", "rep", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
+    filed = fps.select("fp", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
     found, by = [], ["mask", "key"]
     for step in range(SPLITS + 1):
         filed = filed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = filed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         filed = checkpointed(filed.join(sizes, ["mask", "key"]))
-        small = filed.where((F.col("n") <= large) | F.lit(step == SPLITS)).select(*by, "fp", "rep")
+        small = filed.where((F.col("n") <= large) | F.lit(step == SPLITS)).select(*by, "fp")
         found.append(small.repartition(*by).sortWithinPartitions(*by).mapInArrow(partial(_file_links, budget=BUDGET), "a long, b long"))
-        filed = filed.where(F.col("n") > large).select("fp", "rep", "mask")
+        filed = filed.where(F.col("n") > large).select("fp", "mask")
         if step == SPLITS or filed.isEmpty():
             break
         narrower = _narrower(masks)
         masks = [m for parts in narrower.values() for m in parts]
         steps = spark.createDataFrame([*narrower.items()], "mask long, masks array<long>")
         # Ten masks at first and four times as many at each step: 2560 at most.
-        filed = filed.join(F.broadcast(steps), "mask").select("fp", "rep", F.explode("masks").alias("mask")).distinct()
+        filed = filed.join(F.broadcast(steps), "mask").select("fp", F.explode("masks").alias("mask")).distinct()
     return reduce(DataFrame.unionAll, found).distinct()
 
 
@@ -234,11 +240,15 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def with_components(df: DataFrame, id: str = "doc_id", fp: str = "fp", out: str = "component_id") -> DataFrame:
-    """``df`` with the smallest id that is reachable over links of the fingerprints ``fp``."""
-    reps = checkpointed(df.groupBy(F.col(fp).alias("fp")).agg(F.min(id).cast("long").alias("rep")))
-    roots = components(links(reps.where("rep is not null")))
-    reps = reps.join(roots, reps["rep"] == roots["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias(out))
-    return df.drop(out).join(reps, F.col(fp) == F.col("_fp"), "left").drop("_fp")
+    """``df`` with the smallest id that is reachable over links of the fingerprints ``fp``; null if no row there has an id."""
+    reps = checkpointed(df.groupBy(F.col(f"`{fp}`").alias("fp")).agg(F.min(f"`{id}`").cast("long").alias("rep")))
+    roots = checkpointed(reps.join(components(links(reps.select("fp"))).withColumnRenamed("node", "fp"), "fp"))
+    least = roots.groupBy("root").agg(F.min("rep").alias("least"))  # linked fingerprints only
+    linked = roots.join(least, "root").select("fp", "least")
+    named = reps.join(linked, "fp", "left").select(F.col("fp").alias("_qm_fp"), F.coalesce("least", "rep").alias("_qm_component"))
+    kept = [c for c in df.columns if c != out]
+    joined = df.select(*(F.col(f"`{c}`") for c in kept)).join(named, F.col(f"`{fp}`") == F.col("_qm_fp"), "left")
+    return joined.select(*(F.col(f"`{c}`") for c in kept), F.col("_qm_component").alias(out))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
@@ -250,11 +260,17 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without those whose component has a smaller id; of rows with one id the smallest stays.
 
-    Rows with a null id have no place in a component and stay.
+    Rows with a null id have no place in a component and stay. Texts are not dealt anew while the rows to drop are few
+    enough to be broadcast. Columns of maps can't be ordered: with them, repeated rows of one id end in an error.
     """
-    prints = checkpointed(with_fingerprint(df.select(id, text)).select(id, "fp"))
-    keep = with_components(prints, id).where(F.col(id) == F.col("component_id")).groupBy(id).agg(F.count(F.lit(1)).alias("_n"))
-    keep = checkpointed(keep)
-    once = df.join(keep.where("_n = 1").select(id), id, "left_semi")
-    repeated = df.join(keep.where("_n > 1").select(id), id, "left_semi").groupBy(id).agg(F.min(F.struct(*df.columns)).alias("_row")).select("_row.*")
-    return once.select(*df.columns).unionByName(repeated).unionByName(df.where(F.col(id).isNull()))
+    mark = F.xxhash64(F.col(f"`{text}`"))
+    prints = with_fingerprint(df.select(F.col(f"`{id}`").alias("id"), mark.alias("mark"), F.col(f"`{text}`").alias("text"))).select("id", "mark", "fp")
+    told = checkpointed(with_components(checkpointed(prints), "id", out="component").where("id is not null"))
+    dropped = checkpointed(told.where("id <> component").select(F.col("id").alias("_qm_id"), F.col("mark").alias("_qm_mark")).distinct())
+    repeated = checkpointed(told.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("_qm_id")))
+    left = df.join(bounded(dropped, DROPPED), (F.col(f"`{id}`") == F.col("_qm_id")) & (mark == F.col("_qm_mark")), "left_anti")
+    if repeated.isEmpty():
+        return left
+    again, same = bounded(repeated, DROPPED), F.col(f"`{id}`") == F.col("_qm_id")
+    least = left.join(again, same, "left_semi").groupBy(f"`{id}`").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("_qm_row"))
+    return left.join(again, same, "left_anti").unionByName(least.select("_qm_row.*"))

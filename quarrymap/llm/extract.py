@@ -5,14 +5,17 @@ and a few properties of its text; the field has two labels, main text or not, an
 and is trained on labelled pages, here those of ``labelled_pages``: a generator of layouts whose parts are known. Viterbi
 decoding labels the blocks of a page together.
 
-Null and empty pages, and pages without main text, give the empty text. Repeated rows are treated alike; other columns pass
-through, columns of the result's names are replaced. Nothing of a page is dropped but by its label; no length is capped.
+Null and empty pages, and pages without main text, give the empty text; of equally likely labellings the one with less main
+text counts. Comments and declarations are never text, closed or not. Repeated rows are treated alike; other columns pass
+through, columns of the result's names are replaced; an empty table gives an empty one. Nothing of a page is dropped but by
+its label; no length is capped, and parsing takes time in proportion to it, however deep elements are nested.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
 from functools import cache
 from html.parser import HTMLParser
 
@@ -30,6 +33,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i kb
 SILENT = frozenset("script style noscript template head title svg iframe object canvas select textarea button option datalist".split())
 #: What an opening tag closes if it is the innermost open block.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+#: Block elements that features name; all others are one.
+KNOWN = SILENT | frozenset("html body div section article main header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address details summary dialog search hgroup center".split())
+#: Ancestors that say nothing about what a block is.
+BARE = frozenset(("<html", "<body", "<p", "<h1", "<h2", "<h3"))
+_COMMENT_END = re.compile("--!?>")
 _SPACE = re.compile(r"[ \t-\r\x1c-\x1f\x85\xa0  -     　]+")
 _TOKEN = re.compile(r"[a-z]+")
 #: Tokens of classes and ids that a block's features can name.
@@ -48,11 +56,17 @@ class _Node:
 
 
 class _Blocks(HTMLParser):
-    """The blocks of a page in order: (text, features of the ancestors, characters that are links)."""
+    """The blocks of a page in order: (text, features of the ancestors, characters that are links).
+
+    The whole page is fed at once, so a declaration or comment without an end goes to the end of the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack = [_Node("", frozenset(), False, False)]
+        #: Where in the stack each tag is open, and where block elements are; the innermost last.
+        self.open: defaultdict[str, list[int]] = defaultdict(list)
+        self.block_at = [0]
         self.blocks: list[tuple[str, frozenset, int]] = []
         self.parts: list[str] = []
         self.linked = 0
@@ -64,6 +78,19 @@ class _Blocks(HTMLParser):
             self.blocks.append((text, self.features, self.linked))
         self.parts, self.linked = [], 0
 
+    def push(self, node):
+        if node.tag not in INLINE:
+            self.block_at.append(len(self.stack))
+        self.open[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at):
+        """Closes what is open from a place in the stack on."""
+        while len(self.stack) > at:
+            self.open[self.stack.pop().tag].pop()
+        while self.block_at[-1] >= at:
+            self.block_at.pop()
+
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
             if tag == "br":
@@ -74,20 +101,21 @@ class _Blocks(HTMLParser):
         if tag not in INLINE:
             self.flush()
             # A new block ends an open paragraph and whatever inline elements are open in it.
-            inner = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag not in INLINE), 0)
+            inner = self.block_at[-1]
             if inner and self.stack[inner].tag in CLOSES.get(tag, ("p",)) or inner and self.stack[inner].tag == "p" and tag not in SILENT:
-                del self.stack[inner:]
+                self.cut(inner)
         parent = self.stack[-1]
         own = set()
         if tag not in INLINE:
-            own.add("<" + tag)
-            for name, value in attrs:
-                if name in ("class", "id", "role") and value:
+            name = tag if tag in KNOWN else "other"
+            own.add("<" + name)
+            for key, value in attrs:
+                if key in ("class", "id", "role") and value:
                     own.update("." + t for t in _TOKEN.findall(value.lower()) if t in NAMED)
             if "<article" in parent.features or "<main" in parent.features:
-                own.add("in:" + tag)
+                own.add("in:" + name)
         own -= parent.features
-        self.stack.append(_Node(tag, parent.features | own if own else parent.features, parent.silent or tag in SILENT, parent.link or tag == "a"))
+        self.push(_Node(tag, parent.features | own if own else parent.features, parent.silent or tag in SILENT, parent.link or tag == "a"))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -95,14 +123,14 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "br":
             self.parts.append(" ")
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                if tag not in INLINE:
-                    self.flush()
-                elif any(n.tag not in INLINE for n in self.stack[i + 1 :]):
-                    return
-                del self.stack[i:]
-                return
+        if not tag or not self.open[tag]:
+            return
+        at = self.open[tag][-1]
+        if tag not in INLINE:
+            self.flush()
+        elif at < self.block_at[-1]:
+            return
+        self.cut(at)
 
     def handle_data(self, data):
         top = self.stack[-1]
@@ -114,20 +142,37 @@ class _Blocks(HTMLParser):
             self.linked += len(data.strip())
         self.parts.append(data)
 
-    def unknown_decl(self, data):
-        pass
+    def _after(self, end, i):
+        at = self.rawdata.find(end, i)
+        return len(self.rawdata) if at < 0 else at + len(end)
+
+    def parse_html_declaration(self, i):
+        return self._after(">", i)
+
+    def parse_pi(self, i):
+        return self._after(">", i)
+
+    def parse_comment(self, i, report=True):
+        for short in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(short, i):
+                return i + len(short)
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_starttag(self, i):
+        k = super().parse_starttag(i)
+        return k if k >= 0 else self._after(">", i)
+
+    def parse_endtag(self, i):
+        k = super().parse_endtag(i)
+        return k if k >= 0 else self._after(">", i)
 
 
 def blocks(html: str | None) -> list[tuple[str, list[str]]]:
     """(text, features) of the leaf blocks of a page."""
-    for text in (html or "", (html or "").replace("<!", "&lt;!")):
-        parser = _Blocks()
-        try:
-            parser.feed(text)
-            parser.close()
-            break
-        except AssertionError:  # a declaration that the parser refuses; then declarations are text
-            continue
+    parser = _Blocks()
+    parser.feed(html or "")
+    parser.close()
     parser.flush()
     out = []
     for text, ancestors, linked in parser.blocks:
@@ -138,6 +183,8 @@ def blocks(html: str | None) -> list[tuple[str, list[str]]]:
             features.append("ends")
         if "©" in text:
             features.append("copyright")
+        if not ancestors - BARE:
+            features.append("bare")
         out.append((text, features))
     return out
 
@@ -235,7 +282,7 @@ COMMENTS = [
 ]
 MAIN = [
     ('<article>', '</article>'), ('<main>', '</main>'), ('<main><article>', '</article></main>'), ('<div class="content">', '</div>'), ('<div id="main" class="post">', '</div>'), ('<article class="entry">', '</article>'),
-    ('<div class="article body">', '</div>'), ('<div class="story text">', '</div>'), ('<article>', '</article>'), ('<section class="post entry">', '</section>'),
+    ('<div class="article body">', '</div>'), ('<div class="story text">', '</div>'), ('<article>', '</article>'), ('<section class="post entry">', '</section>'), ('', ''),
 ]
 
 

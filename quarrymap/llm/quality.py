@@ -2,14 +2,17 @@
 
 A network with one small hidden layer minimises the non-negative unbiased risk: the loss of trusted positives, weighted by
 the class prior, plus what unlabelled text costs as negatives beyond the positives' share of it, never below zero. The prior
-is the share of label 1 among all labels outside the held-out fold. Features are of the text alone: hashed shapes of words
-and a few rates; labels, language, source and id never enter a score.
-
-The fit uses a bounded sample of labelled positives and of unlabelled text (``POSITIVES``, ``UNLABELLED``), chosen by a hash
-of the id and never from the held-out fold; every row is scored. Null and empty texts have all rates zero and get a score as
-well. An id with several labels is a positive if all of them are 1. Rows without an id count as held out. If there are no
-positives at all, the score is the prior, or 0.5 without labels. Repeated rows are scored alike, other columns pass through,
-and columns of the result's names are replaced.
+is estimated from positives and unlabelled text alone: a network that tells the one from the other is fitted on half of the
+sample, and on the other half the prior is the least ratio, over score limits, of the share of unlabelled text above the limit
+to that of positives, with a bound for chance (best bin estimation). Labels that are not positive are not used at all.
+Features are of the text alone: hashed shapes of words and a few rates; labels, language, source and id never enter a score.
+
+The fit uses a bounded sample of labelled positives and of unlabelled text (``POSITIVES``, ``UNLABELLED``, in ids), chosen by
+a hash of the id and never from the held-out fold; of rows with one id the smallest text is taken. Every row is scored, by
+its whole text. Null and empty texts have all rates zero and get a score as well. An id with several labels is a positive if
+all of them are 1. Rows without an id count as held out. If there are no positives or no other text, every score is 0.5. An
+empty table gives an empty one. Repeated rows are scored alike, other columns pass through, and columns of the result's names
+are replaced; helper columns begin with ``_qm_``, names that a table must not have.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ FOLDS = 5
 THRESHOLD = 0.3
 SHAPES = 64
 HIDDEN, STEPS, RATE, DECAY = 12, 300, 0.02, 1e-3
+#: Bounds of the class prior, and the confidence and slack with which its limit is chosen.
+PRIORS, CHANCE, SLACK = (0.05, 0.95), 0.1, 0.01
 
 _SHAPE = bytes(ord("d") if 0x30 <= b <= 0x39 else ord("X") if 0x41 <= b <= 0x5A else ord("x") if 0x61 <= b <= 0x7A or b >= 0x80 else b for b in range(256))
 _bucket: dict[bytes, int] = {}
@@ -89,31 +94,17 @@ class Model:
         self.seed = seed
         self.bias: float | None = 0.0
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-        """Full-batch Adam on the non-negative risk of the logistic loss."""
-        if not len(positive) or not len(unlabelled):
-            self.bias = float(np.log(prior / (1 - prior)))
-            return self
+    def _descend(self, x: np.ndarray, slope) -> Model:
+        """Full-batch Adam; ``slope`` gives the loss's slope by the outputs."""
         self.bias = None
-        x = np.concatenate([positive, unlabelled])
-        self.mean, self.scale = unlabelled.mean(0), np.maximum(unlabelled.std(0), 0.02)
+        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 0.02)
         x = np.clip((x - self.mean) / self.scale, -6, 6)
-        n, rng = len(positive), np.random.default_rng(self.seed)
+        rng = np.random.default_rng(self.seed)
         weights = [rng.normal(0, 0.3 / np.sqrt(x.shape[1]) * 3, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1)]
         first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
         for step in range(1, STEPS + 1):
             hidden = np.tanh(x @ weights[0] + weights[1])
-            g = hidden @ weights[2] + weights[3][0]
-            p = 1 / (1 + np.exp(-g))
-            loss_as_negative = np.logaddexp(0, g)
-            negative_risk = loss_as_negative[n:].mean() - prior * loss_as_negative[:n].mean()
-            d = np.zeros_like(g)
-            if negative_risk >= 0:
-                d[n:] = p[n:] / (len(x) - n)
-                d[:n] = prior * ((p[:n] - 1) - p[:n]) / n
-            else:  # only undo the part below zero
-                d[n:] = -p[n:] / (len(x) - n)
-                d[:n] = prior * p[:n] / n
+            d = slope(hidden @ weights[2] + weights[3][0])
             back = np.outer(d, weights[2]) * (1 - hidden**2)
             slopes = [x.T @ back, back.sum(0), hidden.T @ d, d.sum(keepdims=True)]
             for i, (w, s) in enumerate(zip(weights, slopes, strict=True)):
@@ -124,6 +115,30 @@ class Model:
         self.weights = weights
         return self
 
+    def fit_telling(self, positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+        """The logistic loss of telling positives from unlabelled text, both with half of the weight."""
+        n, m = len(positive), len(unlabelled)
+        target = np.repeat([1.0, 0.0], [n, m])
+        weight = np.repeat([0.5 / n, 0.5 / m], [n, m])
+        return self._descend(np.concatenate([positive, unlabelled]), lambda g: weight * (1 / (1 + np.exp(-g)) - target))
+
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+        """The non-negative risk of the logistic loss."""
+        n, m = len(positive), len(unlabelled)
+        if not n or not m:
+            self.bias = 0.0
+            return self
+
+        def slope(g):
+            p = 1 / (1 + np.exp(-g))
+            loss_as_negative = np.logaddexp(0, g)
+            negative_risk = loss_as_negative[n:].mean() - prior * loss_as_negative[:n].mean()
+            if negative_risk >= 0:
+                return np.concatenate([prior * ((p[:n] - 1) - p[:n]) / n, p[n:] / m])
+            return np.concatenate([prior * p[:n] / n, -p[n:] / m])  # only undo the part below zero
+
+        return self._descend(np.concatenate([positive, unlabelled]), slope)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.bias is not None:
             g = np.full(len(x), self.bias)
@@ -133,23 +148,43 @@ class Model:
         return 1 / (1 + np.exp(-g))
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> float:
+    """The share of positives in unlabelled text, from ``PRIORS[0]`` to ``PRIORS[1]``, by best bin estimation."""
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return 0.5
+    teller = Model(seed).fit_telling(positive[::2], unlabelled[::2])
+    of_positive, of_all = np.sort(teller.scores(positive[1::2])), np.sort(teller.scores(unlabelled[1::2]))
+    n, m = len(of_positive), len(of_all)
+    above = 1 - np.arange(n) / n  # the share of positives from each positive's score on
+    shares = 1 - np.searchsorted(of_all, of_positive, side="left") / m
+    chance = np.sqrt(np.log(4 / CHANCE) / 2) * (1 / np.sqrt(m) + 1 / np.sqrt(n))
+    best = int(np.argmin((shares + (1 + SLACK) * chance) / above))
+    return float(np.clip(shares[best] / above[best], *PRIORS))
+
+
 def _held_out(id):
-    return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
+    return F.coalesce(F.crc32(F.col(f"`{id}`").cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """The model of the bounded samples; the prior is counted over all labels outside the held-out fold."""
-    open_labels = labels.where(~_held_out(id) & F.col(label).isNotNull()).groupBy(id).agg(F.min(label).alias("_label"))
-    total, ones = open_labels.agg(F.count(F.lit(1)), F.sum("_label")).first()
-    prior = min(0.95, max(0.05, ones / total)) if total else 0.5
-    order = F.xxhash64(F.col(id))
-    positive = open_labels.where("_label = 1").orderBy(order, id).limit(POSITIVES).select(id, F.lit(1).alias("_kind"))
-    others = docs.where(~_held_out(id)).select(id).distinct().orderBy(F.xxhash64(F.col(id), F.lit(1)), id).limit(UNLABELLED).select(id, F.lit(0).alias("_kind"))
+def sample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
+    """The features of the bounded samples of labelled positives and of unlabelled text, one row for each id."""
+    key, width = F.col(f"`{id}`"), SHAPES + 10
+    open_labels = labels.where(~_held_out(id) & F.col(f"`{label}`").isNotNull()).groupBy(key.alias("id")).agg(F.min(f"`{label}`").alias("label"))
+    positive = open_labels.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(POSITIVES).select("id", F.lit(1).alias("kind"))
+    others = docs.where(~_held_out(id)).select(key.alias("id")).distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(UNLABELLED).select("id", F.lit(0).alias("kind"))
     chosen = positive.unionAll(others)  # at most POSITIVES + UNLABELLED ids
-    made = with_python(docs.select(id, text).join(F.broadcast(chosen), id), _features, [text], [T.StructField("_x", T.ArrayType(T.DoubleType()))], drop=[text])
-    rows = made.orderBy("_kind", id, F.hash("_x")).limit(4 * (POSITIVES + UNLABELLED)).collect()
-    by_kind = [np.array([r._x for r in rows if r._kind == k]).reshape(-1, SHAPES + 10) for k in (1, 0)]
-    return Model().fit(*by_kind, prior)
+    texts = docs.select(key.alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id")
+    # One text for each id: however often an id comes, it weighs once and no more rows are collected than ids were chosen.
+    once = texts.groupBy("id", "kind").agg(F.min("text").alias("text"))
+    rows = with_python(once, _features, ["text"], [T.StructField("x", T.ArrayType(T.DoubleType()))], drop=["text"]).collect()
+    rows.sort(key=lambda r: zlib.crc32(str(r.id).encode()))
+    return tuple(np.array([r.x for r in rows if r.kind == k]).reshape(-1, width) for k in (1, 0))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+    """The model of the bounded samples."""
+    positive, unlabelled = sample(docs, labels, id, text, label)
+    return Model().fit(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def _scores(texts, model):
@@ -170,4 +205,4 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject."""
-    return score(docs, fit(docs, labels, id, text), text, "_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    return score(docs, fit(docs, labels, id, text), text, "_qm_score").where(F.col("_qm_score") >= THRESHOLD).drop("_qm_score")

@@ -280,12 +280,12 @@ def judge(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "s
     # Every row counts for the group of all rows, whose estimate serves small groups, and for its own if that is large.
     own = passed.join(F.broadcast(sizes) if few else sizes, groups, "left_semi")
     numbers = own.unionByName(passed.select(everyone.alias("e"), *X).select("e.*", *X))
-    found = estimates(numbers, groups, few)
+    found = estimates(numbers, groups, few).select(*groups, *(F.col(c).alias(f"_qm_{c}") for c in ("mean", "inverse", "scale")))
     every = found.where(F.col(groups[0]) == "\0all").first()  # the one group of all rows; none where no row passes
     told = rows.join(bounded(found.where(F.col(groups[0]) != "\0all"), FEW_GROUPS), groups, "left")
     if every:
-        told = told.withColumns({c: F.coalesce(c, F.array(*map(F.lit, every[c]))) for c in ("mean", "inverse")} | {"scale": F.coalesce("scale", F.lit(every["scale"]))})
-    distance = _distance() / F.col("scale")
+        told = told.withColumns({c: F.coalesce(c, F.array(*map(F.lit, every[c]))) for c in ("_qm_mean", "_qm_inverse")} | {"_qm_scale": F.coalesce("_qm_scale", F.lit(every["_qm_scale"]))})
+    distance = _distance("_qm_mean", "_qm_inverse") / F.col("_qm_scale")
     return told.select(*kept, *_STATISTICS, F.col("_qm_failed").alias("base_failed"), distance.alias("distance"), (~F.col("_qm_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))).alias("kept"))
 
 

@@ -234,7 +234,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         edges = checkpointed(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            found = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            return found.unionAll(found.select("root", "root").distinct())
         before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 

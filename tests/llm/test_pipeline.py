@@ -44,34 +44,38 @@ def clean_of(docs, items):
 
 
 def terms_by_document(docs):
-    """The places of telling terms, counted one by one."""
+    """The places of telling terms, counted one by one over whole documents."""
     import regex
 
-    near, holds = [], defaultdict(set)
-    for d, text in docs.items():
-        for m in regex.finditer(r"\p{L}{4,}", (text or "").lower()):
-            holds[m[0]].add(d)
+    def entities(text):
+        out = set()
         for span in brute_spans(text):
             kind, a, b = span.split(":")
-            a, b = int(a), int(b)
-            entity, sides = f"{kind}|{text[a:b].lower()}", [(max(0, a - pii.NEAR), text[max(0, a - pii.NEAR) : a]), (b, text[b : b + pii.NEAR])]
-            for at, side in sides:
-                for m in regex.finditer(r"\p{L}{4,}+", side):
-                    cut = (m.start() == 0 and at > 0) or m.end() >= pii.NEAR
-                    if not cut and m[0].lower() not in entity:
-                        near.append((d, entity, (sides[0][1], sides[1][1]), m[0].lower(), at + m.start(), at + m.end()))
-    by_entity, by_term, by_both, contexts = (defaultdict(set) for _ in range(4))
-    for d, entity, context, term, _, _ in near:
-        by_entity[entity].add(d)
-        by_term[term].add(d)
-        by_both[entity, term].add(d)
-        contexts[entity, term].add(context)
+            value = text[int(a) : int(b)]
+            if kind == "email":
+                value = re.sub(r"\+[^@]*", "", value.lower())
+            elif kind != "ip":
+                value = re.sub("[^0-9]", "", value)
+            out.add(f"{kind}|{value}")
+        return out
+
+    words_of = {d: {m[0].lower() for m in regex.finditer(r"\p{L}{4,}", t or "")} for d, t in docs.items()}
+    of = {d: entities(t or "") for d, t in docs.items()}
+    telling = set()
+    for c in set().union(*of.values()):
+        holders = [d for d in docs if c in of[d]]
+        known = math.log2(len(docs) / len(holders))
+        for t in set().union(*(words_of[d] for d in holders)):
+            both = [d for d in holders if t in words_of[d]]
+            told = math.log2(len(both) * len(docs) / (len(holders) * sum(t in w for w in words_of.values())))
+            if len({docs[d] for d in both}) >= pii.SUPPORT and known > 0 and told >= pii.DISCLOSURE * known:
+                telling.add(t)
     out = defaultdict(set)
-    for d, entity, _, term, a, b in near:
-        known = math.log2(len(docs) / len(by_entity[entity]))
-        told = math.log2(len(by_both[entity, term]) * len(docs) / (len(by_entity[entity]) * max(len(holds[term]), len(by_term[term]))))
-        if len(contexts[entity, term]) >= pii.SUPPORT and known > 0 and told >= pii.DISCLOSURE * known:
-            out[d].add((a, b, "term"))
+    for d, text in docs.items():
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(text)]
+        for m in regex.finditer(r"\p{L}{4,}", text or ""):
+            if m[0].lower() in telling and not any(a < m.end() and m.start() < b for a, b in base):
+                out[d].add((m.start(), m.end(), "term"))
     return out
 
 
@@ -134,10 +138,22 @@ def test_pipeline_keeps_odd_rows(spark):
 def test_telling_terms_by_brute_force(spark):
     """Terms beside entities that many documents share, some in copies, some common everywhere."""
     near = [(i, f"entry {'abcdef'[i % 6]}x{i} from Zebulon Quist at z@y.org today") for i in range(8)]
-    copies = [(20 + i, "signed Marguerite z@y.org yesterday") for i in range(5)]
-    plain = [(100 + i, f"plain text from today number {i} about nothing") for i in range(80)]
-    df = spark.createDataFrame([*near, *copies, *plain], "doc_id long, text string")
-    want = {d: sorted((a, b) for a, b, _ in s) for d, s in terms_by_document(dict([*near, *copies, *plain])).items()}
-    got = {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.kind == "term") for r in pii.find(df).collect()}
+    copies = [(20 + i, "signed Marguerite w@y.org yesterday") for i in range(5)]
+    far = [(40 + i, f"{'gh'[i % 2]}{i} call +1 555 555 5555 {'filler ' * 400} Ottoline{i % 2}") for i in range(6)]
+    plain = [(100 + i, f"plain text from today number {i} about nothing") for i in range(80)] + [(200, "Quist and zebulon alone")]
+    docs = dict([*near, *copies, *far, *plain])
+    want = {d: sorted((a, b) for a, b, _ in s) for d, s in terms_by_document(docs).items()}
+    got = {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.kind == "term") for r in pii.find(spark.createDataFrame([*docs.items()], "doc_id long, text string")).collect()}
     assert {d: s for d, s in got.items() if s} == want
-    assert any(want.values()) and not any(d in want for d, _ in copies)
+    assert 200 in want and 40 in want and not any(d in want for d, _ in copies)
+
+
+def test_stages_with_clashing_columns(spark):
+    """Columns named like a stage's own pass through all filtering stages."""
+    names = ["score", "fp", "component_id", "spans", "n_words", "hit_starts", "item_ids", "terms", "entity", "id", "mark", "kind"]
+    rows = [(i, f"document {i} says some words that no other one does {i * 7} times", "en", "a", 5, *(f"{c}{i}" for c in names)) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        assert sorted(tuple(r[c] for c in names) for r in out.collect()) == sorted(r[5:] for r in rows)

@@ -4,48 +4,98 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrymap.session import bounded
+
+#: Distinct asked terms that are broadcast at most; beyond, tokens and terms are both dealt.
+ASKED_TERMS = 200_000
+# Weights of a column's fields, and of a table's.
+COLUMN_WEIGHTS = {"f_name": 3.0, "f_synonyms": 2.0, "f_description": 1.0, "f_object": 1.0}
+TABLE_WEIGHTS = {"object": 4.0, "name": 1.0, "synonyms": 1.0, "description": 0.3, "profile": 3.0}
+
 
 @dataclass
 class Index:
-    """postings (doc, term, tf), docs (doc, dl), terms (term, idf), and the mean length as a one-row frame."""
+    """tokens (doc, term, w), of which a term of a document may have several; docs (doc, dl), one row for each document."""
 
-    postings: DataFrame
+    tokens: DataFrame
     docs: DataFrame
-    terms: DataFrame
-    totals: DataFrame
 
+    def totals(self) -> DataFrame:
+        """One row: the number of documents and their mean length."""
+        return self.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
-def build(docs: DataFrame, id: str, fields: dict[str, float]) -> Index:
-    """The index of token-array columns; fields without a positive weight are left out.
+    def postings(self) -> DataFrame:
+        """(doc, term, tf) of all terms."""
+        return self.tokens.groupBy("doc", "term").agg(F.sum("w").alias("tf"))
 
-    One explode feeds both term frequencies and lengths; both aggregates combine before their shuffle.
-    """
+    def save(self, path: str) -> None:
+        """Writes the postings and lengths beside an index that is in use; whoever swaps them reads the new folder."""
+        self.postings().withColumnRenamed("tf", "w").write.mode("overwrite").parquet(f"{path}/tokens")
+        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Index:
+        return Index(spark.read.parquet(f"{path}/tokens"), spark.read.parquet(f"{path}/docs"))
+
+
+def _flat(df: DataFrame, field: str):
+    """A field as one token array; fields of phrases hold arrays of them."""
+    return F.flatten(field) if df.schema[field].dataType.elementType.typeName() == "array" else F.col(field)
+
+
+def build(docs: DataFrame, id: str, fields: dict[str, float]) -> Index:
+    """The index of token-array columns; fields without a positive weight are left out."""
     used = {f: w for f, w in fields.items() if w > 0}
-    weighed = [F.transform(F.col(f), _weigh(w)) for f, w in used.items()]
-    tokens = docs.select(F.col(id).alias("doc"), F.explode_outer(F.concat(*weighed)).alias("t"))
-    postings = tokens.where("t is not null").groupBy("doc", "t.term").agg(F.sum("t.w").alias("tf"))
-    lengths = docs.select(F.col(id).alias("doc"), sum((F.size(f) * F.lit(float(w)) for f, w in used.items()), F.lit(0.0)).alias("dl"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals))  # one row
-    terms = terms.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return Index(postings, lengths, terms, totals)
+    weighed = [F.transform(_flat(docs, f), _weigh(w)) for f, w in used.items()]
+    tokens = docs.select(F.col(id).alias("doc"), F.explode(F.concat(*weighed)).alias("t")).select("doc", "t.term", "t.w")
+    lengths = docs.select(F.col(id).alias("doc"), sum((F.size(_flat(docs, f)) * F.lit(float(w)) for f, w in used.items()), F.lit(0.0)).alias("dl"))
+    return Index(tokens, lengths)
+
+
+def build_tables(features: DataFrame, profiles: DataFrame | None = None, weights: dict[str, float] | None = None) -> Index:
+    """One document for each table of the columns' features: its name once, its columns' fields, its profile (object_key, f_profile)."""
+    w = TABLE_WEIGHTS if weights is None else weights
+    rows = features.select("object_key", F.concat(*(F.transform(_flat(features, f"f_{k}"), _weigh(w[k])) for k in ("name", "synonyms", "description"))).alias("t"))
+    names = features.groupBy("object_key").agg(F.min_by("f_object", "id").alias("f")).select("object_key", F.transform("f", _weigh(w["object"])).alias("t"))
+    rows = rows.unionByName(names)
+    if profiles is not None:
+        rows = rows.unionByName(profiles.select("object_key", F.transform("f_profile", _weigh(w["profile"])).alias("t")))
+    lengths = rows.groupBy(F.col("object_key").alias("doc")).agg(F.sum(F.aggregate("t", F.lit(0.0), lambda n, t: n + t["w"])).alias("dl"))
+    return Index(rows.select(F.col("object_key").alias("doc"), F.explode("t").alias("t")).select("doc", "t.term", "t.w"), lengths)
 
 
 def _weigh(w: float):
     return lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
 
 
-def search(index: Index, queries: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, doc, score, rank) of the best k for every query; ``queries`` is (query, term, weight).
+def scores(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, doc, score) of every document that holds a term; ``queries`` is (query, term, weight).
 
-    Query terms are joined to the postings by term; ties go to the smaller document.
+    Only tokens that are asked for leave the scan; document frequencies come from the same rows.
     """
-    asked = queries.join(index.terms, "term")
-    hits = index.postings.join(asked, "term").join(index.docs, "doc").crossJoin(F.broadcast(index.totals))  # one row
+    asked = bounded(queries.select("term").distinct(), ASKED_TERMS)
+    tf = index.tokens.join(asked, "term", "left_semi").groupBy("term", "doc").agg(F.sum("w").alias("tf"))
+    totals = F.broadcast(index.totals())  # one row
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(totals).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    wanted = queries.join(idf, "term")
+    hits = tf.join(wanted, "term").join(index.docs, "doc")
     part = F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    return hits.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def search(index: Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, doc, score, rank) of the best k for every query; ties go to the smaller document.
+
+    A query's rows are cut to k in every task before they meet.
+    """
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+    return scores(index, queries, k1, b).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def relative(scored: DataFrame) -> DataFrame:
+    """(query, doc, score, relative): scores over the query's best, by an aggregate rather than a window over its documents."""
+    best = scored.groupBy("query").agg(F.max("score").alias("best")).where("best > 0")
+    return scored.join(best, "query").select("query", "doc", "score", (F.col("score") / F.col("best")).alias("relative"))

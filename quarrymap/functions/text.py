@@ -45,7 +45,7 @@ def fold(s: Column) -> Column:
 
 def key_fold(s: Column) -> Column:
     """The form in which source keys are compared; not Turkish."""
-    return F.lower(F.trim(s))
+    return casefold(F.trim(s))
 
 
 def split_camel(word: Column) -> Column:
@@ -119,10 +119,15 @@ def split_terms(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "[,;]"), F.trim), lambda t: t != "")
 
 
+def casefold(s: Column) -> Column:
+    """Lower case for comparison; the two letters that differ from their lower case when folded are folded as well."""
+    return F.replace(F.replace(F.lower(s), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 def normal_form(name: Column) -> Column:
-    """A name without white space, format characters and punctuation at its edges, in lower case."""
+    """A name without white space, format characters and punctuation at its edges, folded."""
     bare = F.regexp_replace(name, r"(?U)[\s\p{Cf}]", "")
-    return F.lower(F.regexp_replace(bare, r"^[.,;:'\"`]+|[.,;:'\"`]+$", ""))
+    return casefold(F.regexp_replace(bare, r"^[.,;:'\"`]+|[.,;:'\"`]+$", ""))
 
 
 def slugify(text: Column) -> Column:

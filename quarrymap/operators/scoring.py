@@ -280,10 +280,11 @@ def explained(ranked: DataFrame, related: DataFrame, scored: DataFrame) -> DataF
 
 def key_columns(names: Column) -> Column:
     """The columns of a table that join others: customer keys in alphabetical order, then its period or else its date."""
-    named = lambda k: F.get(F.filter(names, lambda n: X.fold(n) == k), F.lit(-1) + F.size(F.filter(names, lambda n: X.fold(n) == k)))
-    keys = [F.when(F.exists(names, lambda n, k=k: X.fold(n) == k), named(k)) for k in sorted(CUSTOMER_KEYS)]
-    time = F.when(F.exists(names, lambda n: X.fold(n) == "period"), named("period")).when(F.exists(names, lambda n: X.fold(n) == "datadate"), named("datadate"))
-    return F.filter(F.array(*keys, time), lambda k: k.isNotNull())
+    def named(key: str) -> Column:
+        """The last of the names that are the key; null if none is."""
+        return F.try_element_at(F.filter(names, lambda n: X.fold(n) == key), F.lit(-1))
+
+    return F.filter(F.array(*map(named, sorted(CUSTOMER_KEYS)), F.coalesce(named("period"), named("datadate"))), lambda k: k.isNotNull())
 
 
 def confidence(value: Column) -> Column:

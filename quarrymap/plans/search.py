@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymap.functions import text as X
 from quarrymap.operators import bm25, names
-from quarrymap.session import table
+from quarrymap.plans import sqltext as Q
+from quarrymap.session import bounded, checkpointed, shared_folder, table
 
-ASKED = 6
-FOLD = f"translate(lower(translate(%s, 'Iİ', 'ıi')), '{X.FROM}', '{X.TO}')"
-WORDS = "regexp_extract_all(" + FOLD + r", '[\p{L}\p{N}]+')"
-_STEM = X.STEM.replace("'", "''")
+WORDS = Q.words("%s")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +23,9 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query, term, weight): the first distinct words of every benchmark item."""
+    """(query, term, weight): the distinct words of every benchmark item."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), X.words(F.coalesce("text", F.lit(""))).alias("w"))
-    return items.select("query", F.explode(F.array_distinct(F.slice("w", 1, ASKED))).alias("term"), F.lit(1.0).alias("weight"))
+    return items.select("query", F.explode(F.array_distinct("w")).alias("term"), F.lit(1.0).alias("weight"))
 
 
 def fold_texts(spark, sf_dir):
@@ -80,94 +80,50 @@ def bm25_fields(spark, sf_dir):
     return bm25.search(index, _asked(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
 
 
-def topic_ranking(spark, sf_dir):
-    """Sources as topic documents; scores are relative to the query's best."""
-    docs = _docs(spark, sf_dir).select("source", F.explode(F.concat(F.transform("name", lambda t: F.struct(t.alias("t"), F.lit(1.0).alias("w"))), F.transform("description", lambda t: F.struct(t.alias("t"), F.lit(0.3).alias("w"))))).alias("x"))
-    postings = docs.groupBy(F.col("source").alias("doc"), F.col("x.t").alias("term")).agg(F.sum("x.w").alias("tf"))
-    lengths = postings.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    found = bm25.search(bm25.Index(postings, lengths, terms, totals), _asked(spark, sf_dir), k=None)
-    best = F.max("score").over(Window.partitionBy("query"))
-    return found.select("query", F.col("doc").alias("source"), F.round(F.col("score") / best, 4).alias("topic"))
-
-
-def candidate_pool(spark, sf_dir):
-    """All documents of the sources of a query's best ten."""
-    pool = bm25_top(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("query", "source").distinct()
-    return pool.join(table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_columns")), "source")
-
-
-def object_ranking(spark, sf_dir):
-    """The flagship: sources ranked by their best document, their topic and the share of the query they cover."""
-    index = bm25.build(_docs(spark, sf_dir), "doc_id", {"name": 1, "description": 1})
-    asked = _asked(spark, sf_dir)
-    scored = bm25.search(index, asked, k=None).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source"), "doc")
-    best = F.max("score").over(Window.partitionBy("query"))
-    scored = scored.withColumn("relative", F.col("score") / best)
-    objects = scored.groupBy("query", "source").agg(F.max("relative").alias("best"), F.max_by("doc", F.struct("score", -F.col("doc"))).alias("best_doc"))
-    covered = index.postings.join(asked, "term").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source"), "doc").groupBy("query", "source").agg(F.count_distinct("term").alias("covered"))
-    sizes = asked.groupBy("query").agg(F.count(F.lit(1)).alias("concepts"))
-    joined = objects.join(covered, ["query", "source"]).join(sizes, "query")
-    share = F.col("covered") / F.col("concepts")
-    score = F.round((0.35 * F.col("best") + 0.30 * share) / 0.65, 4)
-    ranked = joined.select("query", "source", "best_doc", "covered", score.alias("score"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "source")))
-    level = F.when(F.round("score", 2) >= 0.80, "Yüksek").when(F.round("score", 2) >= 0.50, "Orta").otherwise("Düşük")
-    return ranked.where("rank <= 20 AND score >= 0.5").withColumn("level", level)
-
-
-def concept_weights(spark, sf_dir):
-    """ln(1 + N / (df + 1)) of every query term over the documents that hold it."""
-    docs = _docs(spark, sf_dir)
-    terms = docs.select("doc_id", F.explode(F.array_distinct(F.concat("name", "description"))).alias("term"))
-    asked = _asked(spark, sf_dir).select("term").distinct()
-    df = terms.join(asked, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    return asked.join(df, "term", "left").crossJoin(F.broadcast(n)).select("term", F.coalesce("df", F.lit(0)).cast("long").alias("df"), F.round(F.log(1 + F.col("n") / (F.coalesce("df", F.lit(0)) + 1)), 6).alias("weight"))
-
-
-def phrase_hits(spark, sf_dir):
-    """Runs of one to three query words that are names of parts of the vocabulary, here the first three words of documents."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(X.ngrams(X.words(F.col("text")), 3))).alias("phrase"))
-    names = _docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(X.ngrams(F.slice("name", 1, 3), 3))).alias("phrase"))
-    generic = names.groupBy("phrase").agg(F.count_distinct("doc_id").alias("n_columns"))
-    return items.join(generic, "phrase").where(F.col("phrase").contains(" ") | (F.col("n_columns") <= 40)).select("item_id", "phrase", "n_columns")
+def index_reloaded(spark, sf_dir):
+    """The same search over an index that was written and read again."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    bm25.build(_docs(spark, sf_dir), "doc_id", {"name": 3, "description": 1}).save(path)
+    return bm25.search(bm25.Index.load(spark, path), _asked(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
 
 
 def retrieval_metrics(spark, sf_dir):
-    """Recall and mean reciprocal rank of benchmark passages against the documents that hold them whole."""
+    """Recall and mean reciprocal rank of benchmark passages against the documents that hold them whole.
+
+    Passages are a stated query set. Long ones meet documents by a run of five of their words, short ones are looked for in
+    every document; only documents that are met are read again, whole, to look for the passage.
+    """
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage")).where("passage is not null and passage <> ''")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    # Passages are the stated query set; their first word run selects the documents in which the whole passage is looked for.
-    key = lambda c: F.array_join(F.slice(X.words(c), 2, 5), " ")
-    shingles = docs.select("doc", "text", F.explode(F.array_distinct(_five(X.words(F.col("text"))))).alias("key"))
-    gold = items.withColumn("key", key(F.col("passage"))).join(shingles, "key").where(F.contains("text", "passage")).select("query", "doc").distinct()
-    index = bm25.build(_docs(spark, sf_dir), "doc_id", {"name": 1, "description": 1})
-    ranked = bm25.search(index, _asked(spark, sf_dir)).select("query", "doc", "rank")
+    # The first and last word of a passage may be cut, the five after the first are not.
+    keyed = items.withColumn("w", X.words(F.col("passage"))).select("query", "passage", F.when(F.size("w") >= 7, F.array_join(F.slice("w", 2, 5), " ")).alias("key"))
+    keyed = checkpointed(keyed)
+    long, short = keyed.where("key is not null"), keyed.where("key is null")
+    runs = docs.select("doc", F.explode(F.array_distinct(_five(X.words(F.col("text"))))).alias("key"))
+    met = runs.join(bounded(long.select("query", "key"), 200_000), "key").select("query", "doc").distinct()
+    gold = met.join(long, "query").join(docs, "doc").where(F.contains("text", "passage")).select("query", "doc")
+    gold = gold.unionByName(docs.join(F.broadcast(short), F.contains("text", "passage")).select("query", "doc")).distinct()  # a stated query set
+    ranked = bm25.search(bm25.build(_docs(spark, sf_dir), "doc_id", {"name": 1, "description": 1}), _asked(spark, sf_dir)).select("query", "doc", "rank")
     first = gold.join(ranked, ["query", "doc"], "left").groupBy("query").agg(F.min("rank").alias("rank"))
     at = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 4)
-    return first.agg(F.count(F.lit(1)).alias("n"), at(1).alias("recall_1"), at(5).alias("recall_5"), at(10).alias("recall_10"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 4).alias("mrr"))
+    told = first.agg(F.count(F.lit(1)).alias("n"), *(at(k).alias(f"recall_{k}") for k in (1, 3, 5, 10)), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 4).alias("mrr"))
+    return told.crossJoin(F.broadcast(items.agg(F.count_distinct("query").alias("asked"))))  # one row each
 
 
 def _five(words):
     return X.once(words, lambda w: X._runs(w, F.size(w), 5))
 
 
-def name_matching(spark, sf_dir):
-    """Misspelt supplier names against the right ones."""
-    known = table(spark, sf_dir, "supplier").select("s_suppkey", F.regexp_replace("s_name", "[0-9#]", "").alias("p"), "s_name")
-    letters = F.translate(F.col("s_suppkey").cast("string"), "0123456789", "abcdefghij")
-    known = known.select(F.concat(F.lit("Warehouse_"), letters, F.lit("_"), letters, F.lit("_Table")).alias("name"), "s_suppkey")
-    typo = F.when(F.col("s_suppkey") % 4 == 0, F.replace("name", F.lit("house"), F.lit("hose"))).when(F.col("s_suppkey") % 4 == 1, F.upper("name")).when(F.col("s_suppkey") % 4 == 2, F.replace("name", F.lit("Ware"), F.lit("Waer"))).otherwise(F.col("name"))
-    return names.match_names(known.select(typo.alias("name")), known)
+TYPOS = """SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN replace(name, 'house', 'hose') WHEN 1 THEN upper(name) WHEN 2 THEN replace(name, 'Ware', 'Waer') WHEN 3 THEN name || '9' WHEN 4 THEN ' ' || name || '.' ELSE name END AS name FROM (
+  SELECT s_suppkey, 'Warehouse_' || translate(CAST(s_suppkey AS «text»), '0123456789', 'abcdefghij') || '_' || translate(CAST(s_suppkey AS «text»), '0123456789', 'abcdefghij') || '_Table' AS name FROM {supplier})"""
+KNOWN = """SELECT 'Warehouse_' || translate(CAST(s_suppkey AS «text»), '0123456789', 'abcdefghij') || '_' || translate(CAST(s_suppkey AS «text»), '0123456789', 'abcdefghij') || '_Table' AS name FROM {supplier} WHERE s_suppkey % 7 > 0"""
 
 
-def rule_scores(spark, sf_dir):
-    """Column scores from weighted evidence, clipped to 0..1, and their level."""
-    part = table(spark, sf_dir, "part")
-    raw = 0.35 * F.col("p_size") / 50 + 0.25 * (F.col("p_retailprice") % 100) / 100 + F.when(F.col("p_brand").contains("1"), 0.30).otherwise(0.0) + F.when(F.col("p_name").contains("a"), 0.15).otherwise(0.0) - F.when(F.col("p_partkey") % 5 == 0, 0.15).otherwise(0.0)
-    return part.select("p_partkey", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 6).alias("score"), F.round(raw, 6).alias("raw"))
+def name_matching(spark, sf_dir):
+    """Misspelt names against the right ones."""
+    supplier = table(spark, sf_dir, "supplier")
+    wanted = spark.sql(TYPOS.replace("«text»", "STRING"), supplier=supplier)
+    return names.match_names(wanted, spark.sql(KNOWN.replace("«text»", "STRING"), supplier=supplier))
 
 
 _DOC_WORDS = f"""
@@ -176,7 +132,7 @@ d AS (
          {WORDS % "coalesce(substr(text, length(string_split(text, chr(10))[1]) + 2), '')"} AS description
   FROM documents
 ), q AS (
-  SELECT DISTINCT item_id AS query, unnest(({WORDS % "coalesce(text, '')"})[1:{ASKED}]) AS term FROM benchmark
+  SELECT DISTINCT item_id AS query, unnest({WORDS % "coalesce(text, '')"}) AS term FROM benchmark
 )"""
 
 
@@ -198,37 +154,39 @@ scored AS (
 _TOP = "SELECT query, doc AS doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 10"
 
 ORACLES = {
-    "fold_texts": f"SELECT doc_id, sha256({FOLD % 'text'}) AS folded, sha256(lower(translate(text, 'Iİ', 'ıi'))) AS lowered FROM documents",
+    "fold_texts": f"SELECT doc_id, sha256({Q.fold('text')}) AS folded, sha256(lower(translate(text, 'Iİ', 'ıi'))) AS lowered FROM documents",
     "stem_counts": f"""
-SELECT CASE WHEN regexp_matches(w, '^[0-9]+$') THEN w ELSE regexp_replace(regexp_replace(regexp_replace(w, '{_STEM}', '\\1'), '{_STEM}', '\\1'), '{_STEM}', '\\1') END AS stem, count(*) AS n
+SELECT CASE WHEN regexp_matches(w, '^[0-9]+$') THEN w ELSE regexp_replace(regexp_replace(regexp_replace(w, '{Q._STEM}', '\\1'), '{Q._STEM}', '\\1'), '{Q._STEM}', '\\1') END AS stem, count(*) AS n
 FROM (SELECT unnest({WORDS % "text"}) AS w FROM documents) GROUP BY 1""",
     "text_keys": f"SELECT item_id, array_to_string({WORDS % 'text'}, ' ') AS text_key FROM benchmark",
     "camel_parts": r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(p_name, ' ', '_'), '_', ' ', 'g'), '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\d)([^\d ])', '\1 \2', 'g'), '([^\d ])(\d)', '\1 \2', 'g'), ' +', ' ', 'g')) AS parts FROM part",
-    "slugs": f"SELECT p_partkey, trim(regexp_replace({FOLD % 's'}, '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM (SELECT p_partkey, substr(p_name || ' ' || p_type, 1, 40) AS s FROM part)",
+    "slugs": f"SELECT p_partkey, trim(regexp_replace({Q.fold('s')}, '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM (SELECT p_partkey, substr(p_name || ' ' || p_type, 1, 40) AS s FROM part)",
     "clipped": r"""SELECT doc_id, CASE WHEN length(t) <= 70 THEN t WHEN contains(substr(t, 1, 70), ' ') THEN regexp_extract(substr(t, 1, 70), '^(.*) [^ ]*$', 1) || '…' ELSE substr(t, 1, 70) || '…' END AS clipped
 FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""",
     "split_terms": "SELECT item_id, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '[,;]'), lambda x: trim(x)), lambda x: x <> '')) AS BIGINT) AS n_terms FROM benchmark",
     "normal_forms": r"SELECT s_suppkey, lower(regexp_replace(s_name, '\s', '', 'g')) AS normal FROM supplier",
     "bm25_top": _bm25_sql(1, 1) + _TOP,
     "bm25_fields": _bm25_sql(3, 1) + _TOP,
-    "topic_ranking": _bm25_sql(1, 0.3, "source") + "SELECT query, doc AS source, round(score / max(score) OVER (PARTITION BY query), 4) AS topic FROM scored",
-    "candidate_pool": _bm25_sql(1, 1) + f"""
-SELECT DISTINCT query, d.source, n_columns FROM ({_TOP}) JOIN documents d USING (doc_id) JOIN (SELECT source, count(*) AS n_columns FROM documents GROUP BY source) s ON s.source = d.source""",
-    "object_ranking": _bm25_sql(1, 1) + """
-, rel AS (SELECT query, doc, source, score, score / max(score) OVER (PARTITION BY query) AS relative FROM scored JOIN d ON d.doc_id = doc),
-o AS (SELECT query, source, max(relative) AS best, arg_max(doc, struct_pack(a := score, b := -doc)) AS best_doc FROM rel GROUP BY query, source),
-c AS (SELECT query, source, count(DISTINCT term) AS covered FROM q JOIN tf USING (term) JOIN d ON d.doc_id = tf.doc GROUP BY query, source),
-s AS (SELECT query, count(*) AS concepts FROM q GROUP BY query),
-r AS (SELECT o.query, o.source, best_doc, covered, round((0.35 * best + 0.30 * (covered / concepts)) / 0.65, 4) AS score FROM o JOIN c USING (query, source) JOIN s ON s.query = o.query),
-k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, source) AS INT) AS rank FROM r)
-SELECT *, CASE WHEN round(score, 2) >= 0.80 THEN 'Yüksek' WHEN round(score, 2) >= 0.50 THEN 'Orta' ELSE 'Düşük' END AS level FROM k WHERE rank <= 20 AND score >= 0.5""",
-    "concept_weights": _bm25_sql(1, 1) + """
-SELECT a.term, CAST(coalesce(df, 0) AS BIGINT) AS df, round(ln(1 + n / (coalesce(df, 0) + 1)), 6) AS weight FROM (SELECT DISTINCT term FROM q) a LEFT JOIN (SELECT term, count(*) AS df FROM tf GROUP BY term) b USING (term), totals""",
-    "rule_scores": """
-SELECT p_partkey, round(greatest(0.0, least(1.0, raw)), 6) AS score, round(raw, 6) AS raw FROM (
-  SELECT p_partkey, CAST(0.35 AS DOUBLE) * p_size / 50 + CAST(0.25 AS DOUBLE) * (p_retailprice % 100) / 100 + CASE WHEN contains(p_brand, '1') THEN CAST(0.30 AS DOUBLE) ELSE 0 END + CASE WHEN contains(p_name, 'a') THEN CAST(0.15 AS DOUBLE) ELSE 0 END - CASE WHEN p_partkey % 5 = 0 THEN CAST(0.15 AS DOUBLE) ELSE 0 END AS raw FROM part)""",
+    "index_reloaded": _bm25_sql(3, 1) + _TOP,
+    "tokens": f"SELECT item_id, array_to_string({Q.tokens('text')}, ' ') AS tokens FROM benchmark",
+    "retrieval_metrics": _bm25_sql(1, 1) + """
+, gold AS (SELECT item_id AS query, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''),
+top AS (SELECT query, doc, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 10),
+f AS (SELECT gold.query, min(rank) AS rank FROM gold LEFT JOIN top ON top.query = gold.query AND top.doc = gold.doc GROUP BY gold.query)
+SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 4) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 4) AS recall_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 4) AS recall_5,
+       round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 4) AS recall_10, round(avg(coalesce(1 / rank, 0)), 4) AS mrr, (SELECT count(DISTINCT item_id) FROM benchmark WHERE text <> '') AS asked FROM f""",
+    "name_matching": f"""
+WITH l AS (SELECT DISTINCT name, lower(trim(trim(name), '.')) AS n FROM ({TYPOS.replace("«text»", "VARCHAR").replace("{supplier}", "supplier")})),
+r AS (SELECT DISTINCT name AS matched, lower(name) AS n FROM ({KNOWN.replace("«text»", "VARCHAR").replace("{supplier}", "supplier")})),
+e AS (SELECT name, matched, 'exact' AS stage FROM l JOIN r ON name = matched),
+s AS (SELECT name, matched, 'normal' AS stage FROM l JOIN r USING (n) WHERE name NOT IN (SELECT name FROM e)),
+d AS (SELECT name, matched, 'edit' AS stage FROM l JOIN r ON damerau_levenshtein(l.n, r.n) = 1 AND l.n[1] = r.n[1] AND length(regexp_replace(l.n, '[^0-9]', '', 'g')) = length(regexp_replace(r.n, '[^0-9]', '', 'g'))
+  WHERE name NOT IN (SELECT name FROM e UNION SELECT name FROM s)),
+o AS (SELECT name, min(matched) AS matched, min(stage) AS stage FROM (SELECT * FROM s UNION ALL SELECT * FROM d) GROUP BY name HAVING count(*) = 1),
+k AS (SELECT matched FROM (SELECT * FROM e UNION ALL SELECT * FROM o) GROUP BY matched HAVING count(DISTINCT lower(trim(name))) = 1)
+SELECT l.name, f.matched, f.stage FROM l LEFT JOIN (SELECT * FROM e UNION ALL SELECT * FROM o WHERE matched IN (SELECT matched FROM k)) f USING (name)""",
 }
 QUERIES = {
     f.__name__: f
-    for f in (object_ranking, fold_texts, stem_counts, text_keys, camel_parts, slugs, clipped, split_terms, normal_forms, tokens, bm25_top, bm25_fields, topic_ranking, candidate_pool, concept_weights, phrase_hits, retrieval_metrics, name_matching, rule_scores)
+    for f in (fold_texts, stem_counts, text_keys, camel_parts, slugs, clipped, split_terms, normal_forms, tokens, bm25_top, bm25_fields, index_reloaded, retrieval_metrics, name_matching)
 }

@@ -7,14 +7,17 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-#: Closing points, from the last, at which the cut object is tried.
+# Closing points, from the last, at which a cut object is tried; asides of models; fences around JSON.
 TRIES = 50
+ASIDE = r"(?s)<(think|thought)>.*?</\1>"
+FENCE = r"(?m)^```(?:json)?\s*|\s*```$"
 #: Strings, an open last one included, are stepped over; only brackets outside them count.
 _PARTS = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?$)|[\[\]{}]', re.DOTALL)
-_ASIDE = re.compile(r"<(think|thought)>.*?</\1>", re.DOTALL)
+_ASIDE = re.compile(ASIDE)
 
 
 def salvage(reply: str | None) -> dict | None:
@@ -46,6 +49,16 @@ def _salvaged(replies: pd.Series) -> pd.Series:
     return pd.Series([None if f is None else json.dumps(f, ensure_ascii=False, separators=(",", ":")) for f in found], dtype=object)
 
 
+def parsed(reply: Column) -> Column:
+    """The JSON object of a reply, as JSON text: without asides and fences, or else what stands between the outermost braces; null otherwise."""
+    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(reply, F.lit("")), ASIDE, "")), FENCE, ""))
+    inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    whole = F.try_parse_json(bare)
+    of = F.coalesce(whole, F.try_parse_json(F.when(inner != "", inner)))
+    return F.when(F.schema_of_variant(of).startswith("OBJECT"), F.to_json(of))
+
+
 def salvaged(reply: Column) -> Column:
-    """``salvage`` as JSON text without spaces."""
-    return _salvaged(reply)
+    """``salvage`` as JSON text without spaces. Replies that are whole, or have no brace, are not given to it."""
+    cut = F.coalesce(reply, F.lit("")).contains("{") & F.try_parse_json(F.regexp_replace(F.coalesce(reply, F.lit("")), ASIDE, "")).isNull()
+    return _salvaged(F.when(cut, reply))

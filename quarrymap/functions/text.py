@@ -71,6 +71,11 @@ def _stemmed(token: str) -> str:
     return token
 
 
+def folded(word: str) -> str:
+    """``fold`` of one word of a fixed list, on the driver."""
+    return _folded(word)
+
+
 def stopword_set(words: list[str] | None = None) -> list[str]:
     """Folded and stemmed forms of the words, sorted."""
     folded = {_folded(w.strip()) for w in (STOPWORDS if words is None else words) if w.strip()}
@@ -116,7 +121,7 @@ def contains_sequence(hay: Column, needle: Column) -> Column:
 
 def split_terms(text: Column) -> Column:
     """Terms between commas and semicolons, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, "[,;]"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, "[,;]"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def casefold(s: Column) -> Column:
@@ -225,4 +230,4 @@ def sentences_naming(column: Column, texts: Column) -> Column:
     """The distinct sentences of the texts that name a column as a whole word."""
     every = F.flatten(F.transform(texts, sentences))
     word = F.concat(F.lit(r"(?U)\b"), F.regexp_replace(column, r"([^\p{L}\p{N}_])", r"\\$1"), F.lit(r"\b"))
-    return F.array_distinct(F.transform(F.filter(every, lambda s: F.rlike(s, word)), F.trim))
+    return F.array_distinct(F.transform(F.filter(every, lambda s: F.rlike(s, word)), lambda t: F.trim(t)))

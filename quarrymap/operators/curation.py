@@ -132,7 +132,8 @@ def wilson(hits: Column, total: Column, z: float = 1.96) -> Column:
     n = F.when(total > 0, total.cast("double"))
     p = hits / n
     centre, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.struct(F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(0.0)).alias("low"), F.coalesce(F.least(F.lit(1.0), centre + half), F.lit(0.0)).alias("high"))
+    some = lambda c: F.when(total > 0, c).otherwise(0.0)
+    return F.struct(some(F.greatest(F.lit(0.0), centre - half)).alias("low"), some(F.least(F.lit(1.0), centre + half)).alias("high"))
 
 
 def verdict(score: Column, failed: Column, sample: Column, scope: Column) -> Column:

@@ -170,10 +170,6 @@ SELECT n_name, c_mktsegment AS mode FROM (
     "mode_first_seen": """
 SELECT n_name, c_mktsegment AS mode FROM (
   SELECT n_name, c_mktsegment, row_number() OVER (PARTITION BY n_name ORDER BY count(*) DESC, min(c_custkey)) AS r FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment) WHERE r = 1""",
-    "spread_of_values": """
-SELECT p_size, count(DISTINCT p_brand) AS n_tables FROM {part} GROUP BY p_size HAVING count(DISTINCT p_brand) >= 4 ORDER BY n_tables DESC, p_size LIMIT 8""",
-    "catalog_lines": """
-SELECT 'T' || CAST(row_number() OVER (ORDER BY n_nationkey) AS «text») AS id, n_name, (SELECT «set» FROM (SELECT c_mktsegment AS x, c_nationkey FROM {customer}) c WHERE c.c_nationkey = n_nationkey) AS groups FROM {nation}""",
     "union_accounts": """
 SELECT c_custkey AS id, c_name AS name, 'customer' AS kind FROM {customer} UNION ALL SELECT s_suppkey, s_name, 'supplier' FROM {supplier}""",
     "pool_union": """
@@ -197,9 +193,6 @@ SELECT kind, n, CASE WHEN n = 0 THEN CAST(0 AS DOUBLE) ELSE round(greatest(CAST(
 FROM (SELECT kind, rows AS n, (p + 1.9208 / n) / (1 + 3.8416 / n) AS centre, 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) AS half
   FROM (SELECT kind, count(value) AS rows, nullif(count(value), 0) AS n, CAST(count(CASE WHEN value > cut THEN 1 END) AS DOUBLE) / nullif(CAST(count(value) AS DOUBLE), 0) AS p
     FROM (VALUES ('view', 50), ('click', 1000000), ('purchase', -1), ('never seen', 0)) AS kinds(kind, cut) LEFT JOIN {events} ON event_type = kind GROUP BY kind))""",
-    "score_card": """
-SELECT n_name, round(100 * usable - 10 * failed, 6) AS score, CASE WHEN 100 * usable - 10 * failed >= 90 THEN 'good' WHEN 100 * usable - 10 * failed >= 75 THEN 'fair' ELSE 'poor' END AS verdict
-FROM (SELECT n_name, CAST(count(CASE WHEN c_acctbal > 0 THEN 1 END) AS DOUBLE) / count(*) AS usable, CASE WHEN min(c_acctbal) < -900 THEN 1 ELSE 0 END AS failed FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name)""",
     "list_progress": """
 SELECT conv_id, count(*) AS total, count(CASE WHEN length(text) > 60 THEN 1 END) AS done, round(avg(CASE WHEN length(text) > 60 THEN length(text) END), 6) AS mean,
        round(avg(CASE WHEN length(text) > 60 THEN length(text) END) * count(CASE WHEN length(text) <= 60 THEN 1 END), 6) AS eta FROM {conversations} GROUP BY conv_id""",
@@ -259,17 +252,6 @@ FROM {orders} v LEFT JOIN {customer} c ON c.c_custkey = v.o_custkey AND c.c_nati
 SELECT name, count(*) AS n_columns, «set» AS groups FROM (SELECT source AS name, lang AS x FROM {documents}) GROUP BY name""",
     "galaxy": """
 SELECT n_name, coalesce(min(c_mktsegment), 'Diğer') AS first_group, count(c_custkey) AS n FROM {nation} LEFT JOIN {customer} ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY n_name""",
-    "family_cap": """
-SELECT family, id, place FROM (
-  SELECT *, row_number() OVER (ORDER BY family, r) AS place FROM (
-    SELECT p_brand AS family, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r, p_retailprice, max(p_retailprice) OVER (PARTITION BY p_brand) AS best FROM {part})
-  WHERE r <= 2 AND p_retailprice >= 0.6 * best) WHERE place <= 6""",
-    "related_columns": """
-SELECT l_orderkey, l_linenumber, place FROM (
-  SELECT l_orderkey, l_linenumber, l_extendedprice, max(l_extendedprice) OVER (PARTITION BY l_orderkey) AS best, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS place FROM {lineitem})
-WHERE place <= 8 AND l_extendedprice >= 0.6 * best""",
-    "mechanical_checks": """
-SELECT count(CASE WHEN c_acctbal < 0 THEN 1 END) AS negative, count(CASE WHEN c_name LIKE '%1%' THEN 1 END) AS with_one, count(CASE WHEN length(c_mktsegment) > 9 THEN 1 END) AS long_segment FROM {customer}""",
 }
 
 QUERIES = {name: spark_query(sql, SPARK) for name, sql in SQL.items()}

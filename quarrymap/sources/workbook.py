@@ -129,7 +129,7 @@ def records(rows: DataFrame) -> DataFrame:
 
     Of columns with the same header the last counts.
     """
-    heads = rows.where("row = 0").select("path", "sheet", F.transform("cells", F.trim).alias("heads"))
+    heads = rows.where("row = 0").select("path", "sheet", F.transform("cells", lambda t: F.trim(t)).alias("heads"))
     joined = rows.where("row > 0").join(heads, ["path", "sheet"])
     pairs = F.transform("heads", lambda h, i: F.struct(h.alias("key"), F.get("cells", i).alias("value")))
     later = lambda p, i: F.array_position(F.slice("heads", i + 2, F.size("heads")), p["key"]) > 0

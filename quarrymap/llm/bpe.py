@@ -4,7 +4,9 @@ For every prefix of a pre-token there is exactly one token that its BPE encoding
 that are suffixes of the prefix, found by an automaton of the vocabulary; a candidate is right if the prefix before it ends
 with a token that may stand beside it, which looks only at the two tokens' own merge trees. Back-pointers give the ids.
 
-Null and empty texts have no ids and decode to the empty text. Repeated rows are encoded alike; other columns pass through.
+Null and empty texts have no ids and decode to the empty text. Whole texts are encoded, however long; what a worker remembers
+is bounded within them, too. Repeated rows are encoded alike; an empty table gives an empty one; other columns pass through,
+those of the result's names are replaced.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ class _Words(dict):
                 ids = self.vocabulary.encode_piece(text.encode())
             else:
                 ids = self.vocabulary.encode_part(text, pieces)
-        if len(word) <= LONGEST_REMEMBERED:
+        if len(word) <= LONGEST_REMEMBERED and len(self) < REMEMBERED:
             self[word] = ids
         return ids
 
@@ -160,7 +162,7 @@ class Vocabulary(Decoder):
             ids = known.get(piece)
             if ids is None:
                 ids = self.encode_piece(piece.encode())
-                if len(piece) <= LONGEST_REMEMBERED:
+                if len(piece) <= LONGEST_REMEMBERED and len(known) < REMEMBERED:
                     known[piece] = ids
             out += ids
         return tuple(out)
@@ -238,6 +240,19 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded_text", pa
     return with_python(df, run, [ids], [T.StructField(text, T.StringType())], arrow=True)
 
 
+def round_trip(df: DataFrame, text: str = "text", ids: str = "token_ids", decoded: str = "decoded_text", path: str | None = None) -> DataFrame:
+    """``df`` without the text, with its token ids and the text that they decode to: ``encode`` and ``decode`` by one worker."""
+    content = _content(df, path)
+
+    def run(texts):
+        vocabulary = _vocabulary(content, Vocabulary)
+        made = [vocabulary.encode(t) for t in texts]
+        return [made, [vocabulary.decode(i) for i in made]]
+
+    outputs = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())]
+    return with_python(df, run, [text], outputs, drop=[text])
+
+
 def digests(df: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded and decoded documents."""
     joined = F.concat_ws(",", F.col("token_ids").cast("array<string>"))
@@ -247,6 +262,6 @@ def digests(df: DataFrame) -> DataFrame:
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the 50k byte-level vocabulary."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(decode(encode(docs).drop("text")))
+    return digests(round_trip(docs))
 
 

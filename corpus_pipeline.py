@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the digests of ids and decoded text of all documents."""
     from pyspark.sql import functions as F
 
-    coded = bpe.decode(bpe.encode(docs).drop("text"))
+    coded = bpe.round_trip(docs)
     return coded.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("decoded_text", 256).alias("decoded_sha256"))
 
 

@@ -109,11 +109,8 @@ def telling_terms(texts: DataFrame, disclosure: float = DISCLOSURE, support: int
     # A term is in at least as many documents as it shares with one entity, so one that tells too little by that count is none.
     beside = both.groupBy("term").agg(F.max("n_ct").alias("n_t"))
     both = checkpointed(both.join(beside, "term").where(told >= disclosure * known).drop("n_t"))
-    wanted = checkpointed(both.select("term").distinct())
-    each = texts.select(F.explode(_terms(F.col("_qm_text"))).alias("term"))
-    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        each = each.join(F.broadcast(wanted), "term", "left_semi")
-    counted = each.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # within a task first
+    # All terms are counted, within a task first, before any is picked: no term's documents are ever rows of a join.
+    counted = texts.select(F.explode(_terms(F.col("_qm_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     return checkpointed(both.join(counted, "term").where(told >= disclosure * known).select("term").distinct())
 
 

@@ -42,11 +42,11 @@ def with_python(df: DataFrame, function: Callable[..., Sequence[list]], inputs:
 
 
 def held_in_turn(sent: Sequence[Broadcast]) -> Iterator:
-    """The values of broadcasts, one after the other. If there are several, each is let go before the next is loaded."""
+    """The values of broadcasts, one after the other. Each is let go before the next is loaded, and the last one, too: a worker
+    that goes on to other stages holds none of them."""
     for block in sent:
         yield block.value
-        if len(sent) > 1:
-            vars(block).pop("_value", None)
+        vars(block).pop("_value", None)
 
 
 def _run_blocks(batches, function, sent, schema):

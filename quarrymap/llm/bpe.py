@@ -27,7 +27,7 @@ from quarrymap.session import table
 #: The pre-token pattern of byte-level BPE, fixed by the vocabulary file's kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens and words whose ids a worker remembers, in an older and a newer half; the older goes when the newer is full.
-REMEMBERED = 350_000
+REMEMBERED = 200_000
 #: Longer pre-tokens are not remembered.
 LONGEST_REMEMBERED = 64
 

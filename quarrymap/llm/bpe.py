@@ -27,7 +27,7 @@ from quarrymap.session import table
 #: The pre-token pattern of byte-level BPE, fixed by the vocabulary file's kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens and words whose ids a worker remembers, in an older and a newer half; the older goes when the newer is full.
-REMEMBERED = 200_000
+REMEMBERED = 350_000
 #: Longer pre-tokens are not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -54,7 +54,7 @@ class _Words(dict):
                 ids = self.vocabulary.encode_piece(text.encode())
             else:
                 ids = self.vocabulary.encode_part(text, pieces)
-        if len(word) <= LONGEST_REMEMBERED and len(self) < REMEMBERED:
+        if len(word) <= LONGEST_REMEMBERED and len(self) < self.vocabulary.remembered:
             self[word] = ids
         return ids
 
@@ -76,10 +76,11 @@ class Decoder:
 class Vocabulary(Decoder):
     """With merge trees and the suffix automaton, which encoding needs as well."""
 
-    def __init__(self, data: dict):
+    def __init__(self, data: dict, remembered: int = REMEMBERED):
         import ahocorasick
 
         super().__init__(data)
+        self.remembered = remembered
         model = data["model"]
         ids = model["vocab"]
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
@@ -162,7 +163,7 @@ class Vocabulary(Decoder):
             ids = known.get(piece)
             if ids is None:
                 ids = self.encode_piece(piece.encode())
-                if len(piece) <= LONGEST_REMEMBERED and len(known) < REMEMBERED:
+                if len(piece) <= LONGEST_REMEMBERED and len(known) < self.remembered:
                     known[piece] = ids
             out += ids
         return tuple(out)
@@ -171,11 +172,11 @@ class Vocabulary(Decoder):
         """The ids of a whole text; strings of special tokens become their ids."""
         if not text:
             return []
-        if len(self.known) + len(self.words) > REMEMBERED // 2:
+        if len(self.known) + len(self.words) > self.remembered // 2:
             self.known.clear()
             self.words.before = {}
             self.words = _Words(self, self.words)
-            if sum(map(len, self.beside)) > REMEMBERED:
+            if sum(map(len, self.beside)) > self.remembered:
                 for row in self.beside:
                     row.clear()
         out: list[int] = []
@@ -194,16 +195,16 @@ class Vocabulary(Decoder):
         return out
 
 
-_loaded: dict[tuple[type, str], Decoder] = {}
+_loaded: dict[tuple, Decoder] = {}
 
 
-def _vocabulary(content, kind: type):
+def _vocabulary(content, kind: type, *options):
     """The worker's one vocabulary of that kind."""
     text, digest = content.value
-    if (kind, digest) not in _loaded:
+    if (kind, digest, *options) not in _loaded:
         _loaded.clear()
-        _loaded[kind, digest] = kind(json.loads(text))
-    return _loaded[kind, digest]
+        _loaded[kind, digest, *options] = kind(json.loads(text), *options)
+    return _loaded[kind, digest, *options]
 
 
 def _content(df: DataFrame, path: str | None):
@@ -240,12 +241,15 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded_text", pa
     return with_python(df, run, [ids], [T.StructField(text, T.StringType())], arrow=True)
 
 
-def round_trip(df: DataFrame, text: str = "text", ids: str = "token_ids", decoded: str = "decoded_text", path: str | None = None) -> DataFrame:
-    """``df`` without the text, with its token ids and the text that they decode to: ``encode`` and ``decode`` by one worker."""
+def round_trip(df: DataFrame, text: str = "text", ids: str = "token_ids", decoded: str = "decoded_text", path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
+    """``df`` without the text, with its token ids and the text that they decode to: ``encode`` and ``decode`` by one worker.
+
+    ``remembered``: words whose ids a worker keeps; fewer take less memory and more time, and give the same ids.
+    """
     content = _content(df, path)
 
     def run(texts):
-        vocabulary = _vocabulary(content, Vocabulary)
+        vocabulary = _vocabulary(content, Vocabulary, remembered)
         made = [vocabulary.encode(t) for t in texts]
         return [made, [vocabulary.decode(i) for i in made]]
 

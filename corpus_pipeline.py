@@ -14,6 +14,10 @@ from quarrymap.llm import bpe, decontaminate, pii, quality, simhash
 from quarrymap.session import remove, shared_folder, table
 
 
+#: Words whose ids a worker of the last stage keeps: fewer than by default, since workers of four other stages were there before.
+REMEMBERED = 200_000
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -40,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the digests of ids and decoded text of all documents."""
     from pyspark.sql import functions as F
 
-    coded = bpe.round_trip(docs)
+    coded = bpe.round_trip(docs, remembered=REMEMBERED)
     return coded.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("decoded_text", 256).alias("decoded_sha256"))
 
 

@@ -151,7 +151,7 @@ SOURCE_TABLES = """SELECT ' DWH ' AS database, n_name AS schema, CASE WHEN s_sup
 
 def source_definitions(spark, sf_dir):
     """Trimmed definitions with a full key, in an order of their own."""
-    rows, _ = C.definitions(_sql(spark, sf_dir, SOURCE_TABLES, "supplier", "nation"), ["database", "schema", "name"], C.MAX_TABLES)
+    rows, _ = C.definitions(_sql(spark, sf_dir, SOURCE_TABLES, "supplier", "nation"), ["database", "schema", "name"])
     return rows.select("pos", "schema", "name", "description")
 
 

@@ -37,17 +37,17 @@ def _text(value: Column) -> Column:
     return F.when(F.lower(bare) == "null", "").otherwise(bare)
 
 
-def definitions(rows: DataFrame, key: list[str], limit: int) -> tuple[DataFrame, int]:
+def definitions(rows: DataFrame, key: list[str], limit: int | None = None) -> tuple[DataFrame, int]:
     """(rows with a full key, trimmed, numbered by ``pos`` in an order that doesn't depend on the server; rows without one).
 
-    More than ``limit`` distinct keys are an error: such a source is none.
+    More than ``limit`` distinct keys are an error: a server with so many is no source. Without a limit all rows are taken.
     """
     texts = rows.select(*(_text(F.col(f"`{c}`")).alias(c) for c in rows.columns))
     full = F.lit(True)
     for k in key:
         full = full & (F.col(k) != "")
     whole = texts.where(full)
-    if whole.select(*(casefold(F.col(k)).alias(k) for k in key)).distinct().limit(limit + 1).count() > limit:
+    if limit is not None and whole.select(*(casefold(F.col(k)).alias(k) for k in key)).distinct().limit(limit + 1).count() > limit:
         raise SourceInvalid("limit")
     from quarrymap.operators.records import dense_ids
 

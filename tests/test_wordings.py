@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymap.operators import bm25, expand, features, scoring
-from quarrymap.plans import ask
+from quarrymap.plans import ask, desk
 from quarrymap.session import shared_folder
 
 KINDS = [
@@ -64,3 +64,13 @@ def test_scores_leave_little_in_the_shared_folder(spark):
     before = held()
     ask.column_scores(spark, "/root/testdata/sf0.001").agg(F.count(F.lit(1))).collect()
     assert held() - before < 2_000_000  # 5 MB and more with the questions' concepts and the columns' tokens in every row
+
+
+def test_more_definitions_than_a_server_may_have(spark, tmp_path):
+    from quarrymap.sources import catalog as C
+
+    n = 2 * C.MAX_TABLES
+    spark.range(n).select(F.col("id").alias("s_suppkey"), F.lit(0).alias("s_nationkey"), F.concat(F.lit("S"), "id").alias("s_name")).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(0, "N")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    rows = desk.source_definitions(spark, str(tmp_path)).collect()
+    assert sorted(r.pos for r in rows) == list(range(n - len(range(0, n, 9))))

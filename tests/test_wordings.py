@@ -74,3 +74,10 @@ def test_more_definitions_than_a_server_may_have(spark, tmp_path):
     spark.createDataFrame([(0, "N")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
     rows = desk.source_definitions(spark, str(tmp_path)).collect()
     assert sorted(r.pos for r in rows) == list(range(n - len(range(0, n, 9))))
+
+
+def test_letters_after_zzz(spark):
+    from quarrymap.functions import text as X
+
+    rows = spark.createDataFrame([(18277,), (18278,), (18279,)], "n int").select(X.column_letter(F.col("n"))).collect()
+    assert [r[0] for r in rows] == ["ZZZ", "AAAA", "AAAB"]
